@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages over the vocabulary of the benchmark itself, weighted by inverse document
-frequency over the whole corpus. A randomised singular value decomposition, whose products are summed over partitions,
-gives a latent space. Every window of every document is folded in and compared with all item passages by cosine; what
+frequency over the whole corpus. A randomised singular value decomposition of these passages at unit length, whose
+products are summed over partitions, gives a latent space in which short items count as much as long ones. Every window of every document is folded in and compared with all item passages by cosine; what
 comes near is checked by a longest common subsequence of words and, for paraphrases, by the words of the answer.
 
 The benchmark is a stated query set and is taken in blocks of bounded size, a scan of the corpus for each.
@@ -18,7 +18,6 @@ from itertools import chain, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +27,6 @@ RANK = 96
 #: Items in a block and words of text in a block, which bound what is sent to every task.
 BLOCK_ITEMS = 1024
 BLOCK_WORDS = 200_000
-#: The latent space is fitted on all benchmark passages of the block and about so many corpus documents.
-FIT_DOCUMENTS = 2000
 #: Windows are runs of PARTS parts of STEP words; item passages are as long.
 STEP, PARTS = 12, 4
 #: Words in more than this share of documents carry no weight.
@@ -89,31 +86,18 @@ def _numbers(some: list[str], vocabulary: dict[bytes, int]) -> tuple[np.ndarray,
     return np.fromiter(map(vocabulary.get, chain.from_iterable(found), repeat(-1)), np.int64, int(lengths.sum())), lengths
 
 
-_COUNTED = "term int, n long, passage array<int>"
-
-
-def _count(vocabulary: dict[bytes, int], share: float):
-    """Document frequencies of the vocabulary, and the passages of a hashed share of documents."""
+def _count(vocabulary: dict[bytes, int]):
+    """Document frequencies of the vocabulary in a partition, a row for each word it holds."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(vocabulary), np.int64)
         terms = vocabulary.keys()
         for batch in batches:
-            kept: list[list[int]] = []
             for part in slices(batch, "text"):
-                picked = part.column("fit").to_pylist()
-                here: list[int] = []
-                for take, text in zip(picked, texts(part), strict=True):
-                    words = words_of(text)
-                    here += [vocabulary[w] for w in set(words) & terms]
-                    if take:
-                        known = [vocabulary.get(w, -1) for w in words]
-                        kept += [[w for w in known[a : a + STEP * PARTS] if w >= 0] for a in range(0, len(known), STEP * PARTS)]
+                here = [vocabulary[w] for text in texts(part) for w in set(words_of(text)) & terms]
                 seen += np.bincount(np.array(here, np.int64), minlength=len(seen))
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(kept), pa.int32()), pa.array([0] * len(kept), pa.int64()), pa.array(kept, pa.list_(pa.int32()))], ["term", "n", "passage"])
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some]), pa.nulls(len(some), pa.list_(pa.int32()))], ["term", "n", "passage"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], ["term", "n"])
 
     return scan
 
@@ -134,7 +118,7 @@ def _fold(terms: np.ndarray, bounds: np.ndarray, matrix: np.ndarray) -> np.ndarr
 
 
 def _product(passages: DataFrame, weight: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
-    """Over all TF-IDF passages A: A'(A basis), or (A basis)'(A basis) if gram; summed by partition, then by eights."""
+    """Over all TF-IDF passages A of unit length: A'(A basis), or (A basis)'(A basis) if gram; summed by partition."""
     weighted = basis * weight[:, None]
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,12 +128,13 @@ def _product(passages: DataFrame, weight: np.ndarray, basis: np.ndarray, gram: b
                 runs = [np.asarray(x, np.int64) for x in f["passage"].iloc[at : at + 4096]]
                 bounds = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
                 terms = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-                latent = _fold(terms, bounds, weighted)
+                length = np.sqrt(_fold(terms, bounds, weight[:, None] ** 2))
+                latent = _fold(terms, bounds, weighted) / np.maximum(length, 1e-9)
                 if gram:
                     part = latent.T @ latent
                 else:
                     part = np.zeros_like(basis)
-                    np.add.at(part, terms, np.repeat(latent, np.diff(bounds), axis=0))
+                    np.add.at(part, terms, np.repeat(latent / np.maximum(length, 1e-9), np.diff(bounds), axis=0))
                     part *= weight[:, None]
                 total = part if total is None else total + part
         if total is not None:
@@ -255,7 +240,13 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float):
                     w = some[a : a + 8192]
                     along = windows[w] @ targets.T
                     near = along / size[w][:, None]
-                    for r, t in zip(*np.nonzero((near >= cosine) & (along >= COVERAGE * energy)), strict=True):
+                    passing = (near >= cosine) & (along >= COVERAGE * energy)
+                    r, t = np.nonzero(passing)
+                    # of overlapping windows that hold the same passage, the fullest one is checked
+                    before, after = np.maximum(r - 1, 0), np.minimum(r + 1, len(w) - 1)
+                    top = ~passing[before, t] | (along[r, t] >= along[before, t]) | (part_doc[w[before]] != part_doc[w[r]])
+                    top &= ~passing[after, t] | (after == r) | (along[r, t] > along[after, t]) | (part_doc[w[after]] != part_doc[w[r]])
+                    for r, t in zip(r[top], t[top], strict=True):
                         d, i = int(part_doc[w[r]]), int(owner[t])
                         if best.get((d, i), (0.0, 0.0, 0.0))[1] >= LCS_ALONE:
                             continue
@@ -286,7 +277,7 @@ def _blocks(benchmark: DataFrame, items: int, words: int) -> Iterator[list[tuple
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = RANK, cosine: float = COSINE, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id, cosine, lcs (weighted share of the item) and answer (share of the answer's weight).
 
     A row for each document and item that stands in it, nearly or exactly. Null and empty texts and items match nothing;
@@ -301,18 +292,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = RANK, cosin
         block = Block.of(some)
         if not block.items or not total:
             continue
-        share = min(1.0, fit_documents / total)
-        fit = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20))
-        counted = rows.withColumn("fit", fit).mapInArrow(_count(block.vocabulary, share), _COUNTED).persist(StorageLevel.MEMORY_AND_DISK)
+        counted = rows.select("text").mapInArrow(_count(block.vocabulary), "term int, n long")
         frequency = np.zeros(len(block.vocabulary))
-        for term, n in counted.filter("term >= 0").groupBy("term").agg(F.sum("n")).collect():  # at most the block's words
+        for term, n in counted.groupBy("term").agg(F.sum("n")).collect():  # at most the block's words
             frequency[term] = n
         weight = np.log((total + 1) / (frequency + 1))
         weight[frequency > COMMON * total] = 0
         if not weight.any():
             weight[:] = 1
         own = spark.createDataFrame(pd.DataFrame({"passage": [x[a : a + STEP * PARTS].tolist() for x in block.items for a in range(0, len(x), STEP * PARTS)]}), "passage array<int>")
-        space = latent_space(counted.filter("term < 0").select("passage").unionAll(own), weight, rank)
+        space = latent_space(own, weight, rank)
         hits = rows.mapInArrow(_search(block, weight, space, cosine), _HIT)
         found = hits if found is None else found.unionAll(hits)
     return found if found is not None else spark.createDataFrame([], _HIT)
