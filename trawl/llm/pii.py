@@ -163,7 +163,8 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts by base kind, the digest of the base spans, and all spans as text."""
     word = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    number = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in BASE_KINDS]
     return found.select(
         "doc_id",
         *counts,
