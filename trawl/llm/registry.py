@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import decontaminate, language, lattice, packing, pii, quality
+from trawl.llm import decontaminate, language, lattice, packing, pii, quality, shingles
 from trawl.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.link_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op3_quality": op3_quality,
     "op6_decontamination": op6_decontamination,
+    "op7_jaccard": op7_jaccard,
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
