@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import decontaminate, language, lattice, packing, pii, quality, shingles
+from trawl.llm import decontaminate, language, lattice, neardup, packing, pii, quality, shingles
 from trawl.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op3_quality": op3_quality,
+    "op4_embedding": op4_embedding,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard": op7_jaccard,
     "op8_pii": op8_pii,
