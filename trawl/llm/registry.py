@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import decontaminate, language, lattice, neardup, packing, pii, quality, shingles
+from trawl.llm import decontaminate, language, lattice, neardup, packing, pii, quality, shingles, suffixes
 from trawl.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
+    "op2_suffixes": op2_suffixes,
     "op3_quality": op3_quality,
     "op4_embedding": op4_embedding,
     "op6_decontamination": op6_decontamination,
