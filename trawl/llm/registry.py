@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import decontaminate, language, lattice, neardup, packing, pii, quality, shingles, suffixes
+from trawl.llm import decontaminate, language, lattice, neardup, packing, pii, quality, secrets, shingles, suffixes
 from trawl.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffixes": op2_suffixes,
     "op3_quality": op3_quality,
     "op4_embedding": op4_embedding,
+    "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard": op7_jaccard,
     "op8_pii": op8_pii,
