@@ -266,3 +266,22 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, whose calibrated score reaches the threshold.
+
+    Learns as `score` does. The texts are described again for the decision, so they are never shuffled.
+    """
+    stats = describe(docs).withColumn("fold", remainder(F.col("doc_id"), 5))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
+    marks = marks.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
+    model = fit(stats.filter("fold > 0").join(marks, "doc_id").select("fold", "stats", "quality").persist(StorageLevel.MEMORY_AND_DISK))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                good = model.probability(np.array([statistics(t) for t in texts(part)])) >= threshold
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(scan, docs.schema)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from trawl.llm import decontaminate, language, lattice, neardup, packing, pii, quality, secrets, shingles, suffixes
 from trawl.llm.common import table
 
@@ -63,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
+#: None of these can be said in SQL; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {}
