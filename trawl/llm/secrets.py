@@ -33,8 +33,11 @@ DUMMY = ("example", "dummy", "sample", "placeholder", "your", "changeme", "xxxx"
 DIGESTS = ("commit", "sha", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "revision")
 CONTACT = ("mail", "phone", "call", "card", "account", "iban", "invoice", "order", "isbn", "tel")
 
-_KEYED = rf"""(?<=(?i:{"|".join(NAMES)})["']?\s{{0,2}}[:=]\s{{0,2}}["']?)[^\s"',;]{{6,}}"""
-_LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+_ASSIGNED = rf"""(?i:{"|".join(NAMES)})["']?\s{{0,2}}[:=]\s{{0,2}}["']?"""
+_KEYED = rf"""(?<![A-Za-z0-9]){_ASSIGNED}[^\s"',;]{{6,}}"""
+_LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}"
+#: A match is a credential's name with the value assigned to it, or a long run with a digit; names stand at a word's
+#: start, so that few places of a text are tried.
 CANDIDATE = f"{_KEYED}|{_LONG}"
 #: A text without this holds no candidate.
 _HINT = r"[0-9]|[:=]"
@@ -50,9 +53,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     Null and empty texts have none; repeated rows give theirs each. `source` is the path, empty where there is none.
     """
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(_HINT))
-    cut = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), "text").filter(F.size("found") > 0)
-    cut = cut.select("doc_id", "path", "found", F.split("text", CANDIDATE).alias("gaps"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(_HINT)).filter(F.col("text").rlike(CANDIDATE))
+    cut = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE).alias("gaps"))
     steps = F.zip_with("found", "gaps", lambda f, g: F.coalesce(F.length(f), F.lit(0)) + F.length(g))
     starts = F.aggregate(steps, F.array(F.lit(0)), lambda seen, n: F.array_append(seen, F.element_at(seen, -1) + n))
     one = F.transform(
@@ -64,11 +66,16 @@ def candidates(docs: DataFrame) -> DataFrame:
             (F.get("starts", i) + F.length(F.get("gaps", i))).alias("start"),
         ),
     )
-    return (
-        cut.withColumn("starts", starts)
-        .select("doc_id", "path", one.alias("all"))
-        .select("doc_id", "path", F.posexplode("all").alias("ordinal", "one"))
-        .select("doc_id", "path", "ordinal", "one.start", "one.found", "one.before", "one.after")
+    each = cut.withColumn("starts", starts).select("doc_id", "path", one.alias("all")).select("doc_id", "path", F.posexplode("all").alias("ordinal", "one"))
+    name = F.regexp_extract("one.found", f"^{_ASSIGNED}", 0)
+    return each.select(
+        "doc_id",
+        "path",
+        "ordinal",
+        (F.col("one.start") + F.length(name)).alias("start"),
+        F.substring("one.found", F.length(name) + 1, F.length("one.found")).alias("found"),
+        F.concat("one.before", name).alias("before"),
+        "one.after",
     )
 
 
