@@ -2,39 +2,27 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task turns into Python objects at once.
-SLICE_BYTES = 8 << 20
-
+from trawl.sources.tables import cut_lineage, shared_checkpoints, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["SLICE_BYTES", "cut_lineage", "mix64", "ragged", "remainder", "shared_checkpoints", "slices", "small_batches", "table", "texts"]
 
-
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; a folder of this machine only where none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    if not named:
-        named = os.path.join(tempfile.gettempdir(), "trawl-checkpoints")
-    sc.setCheckpointDir(named)
+#: Bytes of text that a task turns into Python objects at once.
+SLICE_BYTES = 8 << 20
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: reads of it survive lost executors."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+def small_batches(spark: SparkSession) -> None:
+    """From now on tasks get texts in Arrow batches of at most SLICE_BYTES, on either side of the Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) not in (str(SLICE_BYTES), f"{SLICE_BYTES}b"):
+        spark.conf.set(key, str(SLICE_BYTES))
 
 
 def remainder(key: Column, modulus: int) -> Column:
@@ -42,10 +30,6 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose values in the column stay near the limit of bytes."""
     n = batch.num_rows

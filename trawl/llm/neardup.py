@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.components import connected
+from trawl.operators.graph import connected
 
 COSINE = 0.9
 #: The rotation is learned on at most so many vectors, taken by a hash of their id; every vector is indexed.
