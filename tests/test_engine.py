@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from trawl.functions import names
 from trawl.operators import extract, graph, maintain, resolve, results, search
 from trawl.plans import bindings
 from trawl.streaming import events as ev
@@ -31,7 +32,7 @@ def test_missing_files_are_set_aside(spark):
 
 
 def test_decode_name(spark):
-    got = spark.createDataFrame([("$colon$colon",), ("a_$eq",), ("plain",)], "n string").select(extract.decode_name(F.col("n")).alias("n"))
+    got = spark.createDataFrame([("$colon$colon",), ("a_$eq",), ("plain",)], "n string").select(names.decode_name(F.col("n")).alias("n"))
     assert [r.n for r in got.collect()] == ["::", "a_=", "plain"]
 
 
@@ -93,7 +94,7 @@ def test_every_kind_and_name_form_occurs(spark):
     [("a.b.C", "C", "a.b.C"), ("a.B.type", "B", "a.B"), ("a.Map[x.Y,z.W]", "Map[x.Y,z.W]", "a.Map[x.Y,z.W]"), ("Alone", "Alone", "Alone"), ("a.F[b.G.type]", "F[b.G.type]", "a.F[b.G.type]")],
 )
 def test_display_names(spark, qualified, display, long):
-    row = spark.createDataFrame([(qualified,)], "q string").select(resolve.display_name(F.col("q")).alias("d"), resolve.long_display_name(F.col("q")).alias("l")).first()
+    row = spark.createDataFrame([(qualified,)], "q string").select(names.display_name(F.col("q")).alias("d"), names.long_display_name(F.col("q")).alias("l")).first()
     assert (row.d, row.l) == (display, long)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words and gaps alternate and together cover every character.
@@ -63,18 +63,3 @@ def quarantine_failures(sources: DataFrame) -> DataFrame:
     rows = sources.select("project", "path", F.length("content").alias("n"), covered.alias("c"), F.size(F.filter(cut, lambda p: p.rlike(WORD))).alias("w"))
     reason = F.when(F.col("n").isNull(), "missing").when(F.col("n") != F.col("c"), "not covered").otherwise("")
     return rows.select("project", "path", F.coalesce("n", F.lit(0)).cast("long").alias("n_chars"), F.coalesce("c", F.lit(0)).cast("long").alias("n_covered"), F.greatest("w", F.lit(0)).cast("long").alias("n_words"), reason.alias("reason"))
-
-
-def decode_name(name: Column) -> Column:
-    """An encoded symbolic name in source form."""
-    for encoded, sign in OPERATORS.items():
-        name = F.replace(name, F.lit(encoded), F.lit(sign))
-    return name
-
-
-#: How symbolic characters are encoded in names.
-OPERATORS = {
-    "$colon": ":", "$eq": "=", "$less": "<", "$greater": ">", "$plus": "+", "$minus": "-", "$times": "*", "$div": "/",
-    "$percent": "%", "$amp": "&", "$bar": "|", "$up": "^", "$bang": "!", "$qmark": "?", "$at": "@", "$hash": "#",
-    "$tilde": "~", "$bslash": "\\",
-}

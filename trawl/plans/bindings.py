@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.functions.names import entity_kind
 from trawl.operators.extract import extract_occurrences
-from trawl.operators.resolve import entity_kind
 from trawl.sources.tables import table
 
 

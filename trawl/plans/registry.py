@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.functions import names
 from trawl.operators import extract, graph, maintain, resolve, results, search
 from trawl.plans import bindings as b
 from trawl.plans.oracles import ORACLES
@@ -170,23 +171,23 @@ def occurrence_string(spark, d):
 
 @query
 def alternative_names(spark, d):
-    names = resolve.alternative_names(F.col("name"), F.col("owner"), F.col("kind"))
-    return b.symbols(spark, d).select("symbol_id", F.array_join(names, ",").alias("names"))
+    forms = names.alternative_names(F.col("name"), F.col("owner"), F.col("kind"))
+    return b.symbols(spark, d).select("symbol_id", F.array_join(forms, ",").alias("names"))
 
 
 @query
 def canonical_name(spark, d):
-    return b.symbols(spark, d).select("symbol_id", resolve.canonical_name(F.col("name")).alias("canonical"))
+    return b.symbols(spark, d).select("symbol_id", names.canonical_name(F.col("name")).alias("canonical"))
 
 
 @query
 def display_name(spark, d):
-    return b.symbols(spark, d).select("symbol_id", resolve.display_name(F.col("qualified_name")).alias("display"))
+    return b.symbols(spark, d).select("symbol_id", names.display_name(F.col("qualified_name")).alias("display"))
 
 
 @query
 def long_display_name(spark, d):
-    return b.symbols(spark, d).select("symbol_id", resolve.long_display_name(F.col("qualified_name")).alias("long_display"))
+    return b.symbols(spark, d).select("symbol_id", names.long_display_name(F.col("qualified_name")).alias("long_display"))
 
 
 @query
@@ -203,7 +204,7 @@ def searchable_entities(spark, d):
 def hierarchy_label(spark, d):
     rows = b.symbols(spark, d).select(
         F.col("symbol_id").alias("id"),
-        resolve.display_name(F.col("qualified_name")).alias("display_name"),
+        names.display_name(F.col("qualified_name")).alias("display_name"),
         F.when(F.col("accessor") == "", F.col("owner")).alias("path"),
         F.when(F.col("is_local"), "Uncertain").otherwise("Certain").alias("confidence"),
     )
