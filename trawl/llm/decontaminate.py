@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import slices, texts
+from trawl.llm.common import slices, small_batches, texts
 
 RANK = 96
 #: Items in a block and words of text in a block, which bound what is sent to every task.
@@ -285,6 +285,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = RANK, cosin
     nothing. Of docs only doc_id and text are read, of the benchmark item_id and text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.count()
     found: DataFrame | None = None

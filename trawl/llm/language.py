@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import mix64, remainder, slices, texts
+from trawl.llm.common import mix64, remainder, slices, small_batches, texts
 
 ORDER = 4
 #: N-grams are told apart by this many bits of their hash within an order, which bounds the model's size:
@@ -272,6 +272,7 @@ def identify(docs: DataFrame, *, order: int = ORDER, bits: int = HASH_BITS, reje
     a null text, and any text when no language was learned, is `und` with score 0. Ties go to the first language by
     name. `rejected` marks predictions whose calibrated probability is below `reject`; the prediction stays.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),

@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import remainder, slices
+from trawl.llm.common import remainder, slices, small_batches
 
 #: Rounds of expected counts.
 ROUNDS = 2
@@ -331,6 +331,7 @@ def score(docs: DataFrame, vocabulary: str, *, rounds: int = ROUNDS, chunk_bytes
     empty, so only an end. Scores are log10 probabilities. Repeated rows count and score each; without training
     documents the pieces' first weights stand alone. Only doc_id, text and lang are read.
     """
+    small_batches(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

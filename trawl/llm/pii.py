@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import slices, texts
+from trawl.llm.common import slices, small_batches, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Spans that the method finds beyond the base kinds: credentials before the host of a link, accounts after a cue.
@@ -146,6 +146,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have none; repeated rows are judged alike; columns beyond doc_id and text are not read.
     """
+    small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +186,7 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the personal data in `text` masked and all other columns as they are; null texts stay null."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
     where = docs.columns.index("text")
 

@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import remainder, slices, texts
+from trawl.llm.common import remainder, slices, small_batches, texts
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -94,6 +94,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 rows = [statistics(t) for t in texts(part)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(scan, f"doc_id long, stats {_ARRAY}")
 

@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import mix64, slices
+from trawl.llm.common import mix64, slices, small_batches
 
 LENGTH = 400
 GRAM = 32
@@ -320,6 +320,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, s
     are judged on the input. Null texts are empty, repeated rows count as often as they stand there, and texts shorter
     than `length` stay whole. Only doc_id and text are read.
     """
+    small_batches(docs.sparkSession)
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw")).withColumn("dh", F.xxhash64("raw"))
     anchors = rows.select("doc_id", "dh", "raw").mapInArrow(_anchor_rows(length, gram), _ANCHORS).persist(StorageLevel.MEMORY_AND_DISK)
