@@ -19,8 +19,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import mix64, slices
-from trawl.llm.components import connected
+from trawl.llm.common import cut_lineage, mix64, slices, small_batches
+from trawl.operators.graph import connected
 
 WORDS = 5
 #: Documents link when 100 * overlap >= PERCENT * union.
@@ -31,13 +31,17 @@ SKETCH_BLOCK = 1 << 16
 #: Up to so many documents of one column are multiplied at once; larger columns begin with a star and neighbours.
 COLUMN = 256
 NEAR = 8
+#: Bits of the map that spares documents outside all pairs; any size gives the same links.
+SPOT_BITS = 22
+#: Bytes of text shingled at once.
+SLICE = 4 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -82,7 +86,7 @@ def sketch(rows: DataFrame, bits: int) -> np.ndarray:
         hashes = _WordHashes()
         total = np.zeros(size, np.uint32)
         for batch in batches:
-            for part in slices(batch, "raw"):
+            for part in slices(batch, "raw", SLICE):
                 sets = shingle_sets(_raws(part), hashes)
                 if sets:
                     total += np.bincount(_place(np.concatenate(sets), bits), minlength=size).astype(np.uint32)
@@ -114,7 +118,7 @@ def _lead(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-_ROWS = "doc_id long, n_shingles long, print binary, lead binary"
+_ROWS = "doc_id long, n_shingles long, print binary, lead binary, edge long"
 
 
 def _rows(rows: DataFrame, levels, bits: int, percent: int) -> DataFrame:
@@ -122,22 +126,30 @@ def _rows(rows: DataFrame, levels, bits: int, percent: int) -> DataFrame:
         hashes = _WordHashes()
         level = np.frombuffer(zlib.decompress(levels.value), np.uint8)
         for batch in batches:
-            for part in slices(batch, "raw"):
+            for part in slices(batch, "raw", SLICE):
                 sets = shingle_sets(_raws(part), hashes)
                 prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                leads = [s[_order(s, level, bits)[: _lead(len(s), percent)]].tobytes() if len(s) else b"" for s in sets]
+                leads = [s[_order(s, level, bits)[: _lead(len(s), percent)]] if len(s) else s for s in sets]
+                edges = [int(level[_place(x[-1:], bits)][0]) << 56 | int(x[-1]) >> 8 if len(x) else 0 for x in leads]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(leads, pa.binary())],
-                    ["doc_id", "n_shingles", "print", "lead"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in leads], pa.binary()), pa.array(edges, pa.int64())],
+                    ["doc_id", "n_shingles", "print", "lead", "edge"],
                 )
 
     return rows.mapInArrow(scan, _ROWS)
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each leading shingle of each set: shingle, node, size and place."""
+    """A row for each leading shingle of each set: shingle, document, size and place; of equal sets in a task only one."""
+    seen: set[bytes] = set()
     for batch in batches:
         for part in slices(batch, "lead", 4 << 20):
+            new = []
+            for i, name in enumerate(part.column("print").to_pylist()):
+                if name not in seen:
+                    seen.add(name)
+                    new.append(i)
+            part = part.take(pa.array(new, pa.int64()))
             leads = [np.frombuffer(x, np.int64) for x in part.column("lead").to_pylist()]
             lengths = np.fromiter(map(len, leads), np.int64, len(leads))
             if lengths.sum():
@@ -145,7 +157,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(leads)),
-                        pa.array(np.repeat(part.column("node").to_numpy(), lengths)),
+                        pa.array(np.repeat(part.column("doc_id").to_numpy(), lengths)),
                         pa.array(np.repeat(part.column("n_shingles").to_numpy(), lengths).astype(np.int32)),
                         pa.array(place.astype(np.int32)),
                     ],
@@ -164,7 +176,7 @@ def _pairs_of_columns(percent: int, column: int):
 
     Columns of up to `column` documents give all such pairs. Longer ones stream by in constant memory and give those of
     each document with the column's first one and with the ones just before it in size; what this leaves is told by
-    large = true rows, the column's documents, for the next step.
+    rows without b, the column's documents, for the next step. A pair's n is the number of columns it shares here.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +186,8 @@ def _pairs_of_columns(percent: int, column: int):
         def some(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             keep = (a[:, 1] != b[:, 1]) & _possible(a[:, 2], a[:, 3], b[:, 2], b[:, 3], percent)
             x, y = a[keep, 1], b[keep, 1]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32())], names)
+            pairs, shared = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.array(shared.astype(np.int32)), pa.nulls(len(pairs), pa.int32())], names)
 
         names = ["a", "b", "h", "n", "place"]
 
@@ -259,23 +271,85 @@ def _overlaps(percent: int):
     return scan
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
-    for batch in batches:
-        for part in slices(batch, "raw"):
-            sets = [s.tobytes() for s in shingle_sets(_raws(part), hashes)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["node", "set"])
+def _sets(spots):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        marked = np.frombuffer(zlib.decompress(spots.value), np.uint8)
+        for batch in batches:
+            spot = batch.column("spot").to_numpy()
+            batch = batch.filter(pa.array((marked[spot >> 3] >> (spot & 7) & 1).astype(bool)))
+            for part in slices(batch, "raw", SLICE):
+                sets = [s.tobytes() for s in shingle_sets(_raws(part), hashes)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["node", "set"])
+
+    return scan
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets link. Texts meet the wanted ids by a shuffle, sets the pairs by two more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, set binary").persist(StorageLevel.MEMORY_AND_DISK)
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+def _candidate_sets(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Whole sets of the documents that stand in a pair, made where the texts are read.
+
+    A map of hashed ids, of fixed size, spares the other documents; the few that it lets through fall in the join.
+    """
+    spark = rows.sparkSession
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SPOT_BITS))
+    wanted = pairs.select(F.explode(F.array(spot("a"), spot("b"))).alias("spot")).distinct()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(1 << SPOT_BITS - 3, np.uint8)
+        for batch in batches:
+            at = batch.column("spot").to_numpy()
+            np.bitwise_or.at(marked, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(marked.tobytes(), 1)], pa.binary())], ["packed"])
+
+    marked = np.zeros(1 << SPOT_BITS - 3, np.uint8)
+    for row in wanted.coalesce(16).mapInArrow(mark, "packed binary").collect():  # sixteen maps of fixed size
+        marked |= np.frombuffer(zlib.decompress(bytes(row[0])), np.uint8)
+    spots = spark.sparkContext.broadcast(zlib.compress(marked.tobytes(), 1))
+    return rows.withColumn("spot", spot(F.col("doc_id"))).filter("doc_id is not null").mapInArrow(_sets(spots), "node long, set binary").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose accumulated count of shared leading columns leaves the overlap that their sizes ask for possible.
+
+    All columns up to where the first of the two leading parts ends are counted, so what else is shared lies in the rest
+    of that document. Of two documents that both stand in long columns the count is not whole; such pairs stay.
+    """
+    lead = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), (F.col("n_shingles") - lead).alias(f"rest_{x}"), F.col("edge").alias(f"edge_{x}"))
+    in_long = lambda x: long.select(F.col("node").alias(x), F.lit(True).alias(f"long_{x}"))
+    seen = pairs.join(side("a"), "a").join(side("b"), "b").join(in_long("a"), "a", "left").join(in_long("b"), "b", "left")
+    beyond = F.when(F.col("edge_a") < F.col("edge_b"), F.col("rest_a")).when(F.col("edge_a") > F.col("edge_b"), F.col("rest_b")).otherwise(F.greatest("rest_a", "rest_b"))
+    enough = (F.col("c") + beyond) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    return seen.filter(enough | (F.coalesce("long_a", F.lit(False)) & F.coalesce("long_b", F.lit(False)))).select("a", "b", "c")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets link."""
+    with_a = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_overlaps(percent), "a long, b long")
 
 
+def _named(rows: DataFrame, moved: DataFrame, column: str) -> DataFrame:
+    """The rows with ids in the column replaced by those of their nodes."""
+    names = moved.select(F.col("doc_id").alias(column), F.col("node").alias("__node"))
+    return rows.join(names, column, "left").withColumn(column, F.coalesce("__node", column)).drop("__node")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each document the pair with the partner that shares most leading columns."""
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "c").unionAll(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "c"))
+    top = both.groupBy("x").agg(F.max(F.struct(F.col("c"), (-F.col("y")).alias("y"))).alias("top")).select("x", (-F.col("top.y")).alias("y"))
+    return top.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not yet in one class."""
+    root = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
+    seen = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return seen.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def link_classes(docs: DataFrame, *, percent: int = PERCENT, bits: int = SKETCH_BITS, column: int = COLUMN) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
@@ -284,25 +358,40 @@ def link_classes(docs: DataFrame, *, percent: int = PERCENT, bits: int = SKETCH_
     row of null doc_id stands for nothing and has its class only through an equal set. Only doc_id and text are read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     counts = sketch(rows, bits)
-    usual = max(1.0, 8 * float(counts.mean()))
-    level = np.where(counts <= usual, 0, np.log2(np.maximum(counts, 1) / usual) + 1).astype(np.uint8)
+    mean = float(counts.mean())
+    usual = mean + 4 * mean**0.5 + 4  # what a counter of rare shingles alone hardly passes
+    level = np.zeros(len(counts), np.uint8)
+    often = np.flatnonzero(counts > usual)
+    level[often] = 2 * np.log2(counts[often] / usual) + 1
     levels = spark.sparkContext.broadcast(zlib.compress(level.tobytes(), 1))
     described = _rows(rows, levels, bits, percent).persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = described.filter("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("lead").alias("lead"))
-    columns = nodes.select("node", "n_shingles", "lead").mapInArrow(_columns, "h long, node long, n int, place int")
+    known = described.filter("print is not null and doc_id is not null")
+    # equal sets are one node, named by the smallest of their ids; leading parts are never shuffled whole
+    nodes = known.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("edge").alias("edge"))
+    moved = cut_lineage(known.select("doc_id", "print").join(nodes.select("print", "node"), "print").filter("doc_id <> node").select("doc_id", "node").distinct())
+    columns = known.select("doc_id", "n_shingles", "print", "lead").mapInArrow(_columns, "h long, node long, n int, place int")
     sorted_ = columns.repartition("h").sortWithinPartitions("h", "n", "node")
-    met = sorted_.mapInArrow(_pairs_of_columns(percent, column), _PAIRS).persist(StorageLevel.MEMORY_AND_DISK)
-    pairs = met.filter("b is not null").select("a", "b").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    links = _verified(pairs, rows, percent).persist(StorageLevel.MEMORY_AND_DISK)
+    # from here on only pairs and ids are left; written in the shared folder, they keep plans short and lost work small
+    met = cut_lineage(sorted_.mapInArrow(_pairs_of_columns(percent, column), _PAIRS))
+    left = _named(met.filter("b is null").select("h", F.col("a").alias("node"), "n", "place"), moved, "node").distinct()
+    # each pair of documents has its whole count; of pairs with equal sets the largest holds
+    each = met.filter("b is not null").groupBy("a", "b").agg(F.sum("n").alias("c"))
+    both = _named(_named(each, moved, "a"), moved, "b").filter("a <> b")
+    counted = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("c").alias("c"))
+    pairs = cut_lineage(_bounded(counted, nodes.select("node", "n_shingles", "edge"), left.select("node").distinct(), percent))
+    sets = _candidate_sets(pairs, rows)
+    # the likeliest pair of each document joins most classes; of the other pairs only those between classes matter
+    links = cut_lineage(_verified(_best(pairs), sets, percent))
+    links = cut_lineage(links.unionAll(_verified(_apart(pairs, connected(links)), sets, percent)))
     roots = connected(links)
-    left = met.filter("b is null").select("h", F.col("a").alias("node"), "n", "place")
     rest = _rest(left, roots, pairs, percent)
     if rest is not None:
-        roots = connected(links.unionAll(_verified(rest, rows, percent)))
-    prints = described.filter("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
-    classes = prints.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("print", F.coalesce("root", "node").alias("class"))
+        rest = cut_lineage(rest)
+        roots = connected(links.unionAll(_verified(rest, _candidate_sets(rest, rows), percent)))
+    classes = nodes.select("print", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("print", F.coalesce("root", "node").alias("class"))
     return described.select("doc_id", "n_shingles", "print").join(classes, "print", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
 
 
@@ -337,4 +426,4 @@ def _rest(left: DataFrame, roots: DataFrame, done: DataFrame, percent: int) -> D
         return pd.DataFrame(pairs, columns=["a", "b"])
 
     met = sides.groupBy("h", "i", "j").applyInPandas(meet, "a long, b long").distinct()
-    return met.join(done, ["a", "b"], "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+    return met.join(done.select("a", "b"), ["a", "b"], "left_anti")
