@@ -226,6 +226,24 @@ def test_leaks_of_nothing(spark, frame, empty):
     assert decontaminate.find_leaks(empty, some).count() == 0
 
 
+def test_leaks_of_items_in_many_documents(spark, frame):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [text(20), text(20), text(20)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    edited = " ".join("changed" if k == 6 else w for k, w in enumerate(items[0].split()))
+    many = [f"{text(30)} {items[0]} {text(30)}" for _ in range(19)] + [f"{text(30)} {edited} {text(30)}"] + [text(60) for _ in range(40)]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(many), bench).collect()} == {(i, 0) for i in range(20)}
+    few = [f"{text(30)} {items[1]} {text(30)}", *(text(60) for _ in range(4))]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(few), bench).collect()} == {(0, 1)}
+    # an item that stands in every document, short and among rare words of another item
+    bench = spark.createDataFrame([(0, "of the in to"), (1, items[1])], "item_id long, text string")
+    every = [f"{items[1]} of the in to {items[1]}"] + [f"{text(20)} of the in to" for _ in range(30)] + ["to in the of"]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(every), bench).collect()}
+    assert got == {(0, 1), *((i, 0) for i in range(31))}
+
+
 def test_weight_of_common_subsequence():
     weight = np.array([1.0, 2, 3, 4])
     assert decontaminate.lcs_weight(np.array([0, 1, 2, 3]), weight, np.array([1, 9, 0, 2, 3])) == 9

@@ -3,7 +3,8 @@
 Benchmark items are cut into passages over the vocabulary of the benchmark itself, weighted by inverse document
 frequency over the whole corpus. A randomised singular value decomposition of these passages at unit length, whose
 products are summed over partitions, gives a latent space in which short items count as much as long ones. Every window of every document is folded in and compared with all item passages by cosine; what
-comes near is checked by a longest common subsequence of words and, for paraphrases, by the words of the answer.
+comes near is checked by a longest common subsequence of words and, for paraphrases, by the words of the answer. Exact
+copies of an item are besides looked up from its rarest word, whatever its weight and what stands around it.
 
 The benchmark is a stated query set and is taken in blocks of bounded size, a scan of the corpus for each.
 """
@@ -29,8 +30,6 @@ BLOCK_ITEMS = 1024
 BLOCK_WORDS = 200_000
 #: Windows are runs of PARTS parts of STEP words; item passages are as long.
 STEP, PARTS = 12, 4
-#: Words in more than this share of documents carry no weight.
-COMMON = 0.1
 COSINE = 0.3
 #: Least share of an item passage's latent energy that a window must hold to be a candidate, besides the cosine.
 COVERAGE = 0.5
@@ -112,11 +111,18 @@ def _fold(terms: np.ndarray, bounds: np.ndarray, matrix: np.ndarray) -> np.ndarr
     """Sums of the matrix's rows by term, over runs that begin at bounds."""
     out = np.zeros((len(bounds) - 1, matrix.shape[1]), matrix.dtype)
     full = np.flatnonzero(np.diff(bounds))
-    if len(full):
-        out[full] = np.add.reduceat(matrix[terms], bounds[:-1][full], axis=0)
+    for a in range(0, len(full), 4096):
+        some = full[a : a + 4096]
+        first = bounds[some[0]]
+        out[some] = np.add.reduceat(matrix[terms[first : bounds[some[-1] + 1]]], bounds[some] - first, axis=0)
     return out
 
 
+def weights(frequency: np.ndarray, total: int) -> np.ndarray:
+    """Inverse document frequencies, log 2 at least: a word of every document still gives its item a direction."""
+    return np.log(1 + (total + 1) / (frequency + 1))
+
+
 def _product(passages: DataFrame, weight: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
     """Over all TF-IDF passages A of unit length: A'(A basis), or (A basis)'(A basis) if gram; summed by partition."""
     weighted = basis * weight[:, None]
@@ -167,6 +173,30 @@ def lcs_weight(item: np.ndarray, weight: np.ndarray, words: np.ndarray) -> float
     return float(best[-1])
 
 
+def _exact(block: Block, weight: np.ndarray):
+    """Finds (document, item) wherever an item's words stand in a row in one document."""
+    rarest = [int(np.argmax(weight[x])) for x in block.items]
+    is_anchor = np.zeros(len(weight) + 1, bool)  # the last place takes the words outside the vocabulary
+    is_anchor[[x[o] for x, o in zip(block.items, rarest, strict=True)]] = True
+
+    def find(terms: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int]]:
+        at = np.flatnonzero(is_anchor[terms])
+        at = at[np.argsort(terms[at], kind="stable")]
+        bounds = np.searchsorted(terms[at], np.arange(len(weight) + 1))
+        for i, (item, o) in enumerate(zip(block.items, rarest, strict=True)):
+            begin = at[bounds[item[o]] : bounds[item[o] + 1]] - o
+            begin = begin[(begin >= 0) & (begin + len(item) <= len(terms))]
+            for k, w in enumerate(item):
+                if not len(begin):
+                    break
+                begin = begin[terms[begin + k] == w]
+            doc = np.searchsorted(firsts, begin, side="right") - 1
+            for d in np.unique(doc[begin + len(item) <= firsts[doc + 1]]).tolist():
+                yield d, i
+
+    return find
+
+
 _HIT = "doc_id long, item_id long, cosine double, lcs double, answer double"
 
 
@@ -183,10 +213,8 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float):
     norms = np.linalg.norm(targets, axis=1)
     keep = norms > 1e-6
     targets, owner, energy = targets[keep] / norms[keep][:, None], np.array(owners)[keep], norms[keep]
-    heavy = weight > 0
-    # a floor under each word's weight lets words of no weight still join a subsequence
-    value = np.maximum(weight, 0.05)
-    values = [value[x] for x in block.items]
+    exact = _exact(block, weight)
+    values = [weight[x] for x in block.items]
     wholes = [float(v.sum()) for v in values]
     present = np.zeros(len(weight) + 1, bool)  # the last place takes the words outside the vocabulary
 
@@ -209,7 +237,7 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float):
             if share > best:
                 tail = text[block.answers[item] :]
                 tail = tail if len(tail) else text
-                best, answer = share, float(value[tail][np.isin(tail, run)].sum() / value[tail].sum())
+                best, answer = share, float(weight[tail][np.isin(tail, run)].sum() / weight[tail].sum())
         return best, answer
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +251,6 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float):
                 part_doc = np.repeat(np.arange(len(lengths)), n_parts)
                 part_no = np.arange(len(part_doc)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
                 at = np.flatnonzero(terms >= 0)
-                at = at[heavy[terms[at]]]
                 doc = np.searchsorted(firsts, at, side="right") - 1
                 of = (np.cumsum(n_parts) - n_parts)[doc] + (at - firsts[doc]) // STEP
                 runs = np.searchsorted(of, np.arange(len(part_doc) + 1))
@@ -255,6 +282,9 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float):
                             found = (float(near[r, t]), share, answer)
                             if (d, i) not in best or found[1] > best[d, i][1]:
                                 best[d, i] = found
+                for d, i in exact(terms, firsts):
+                    if best.get((d, i), (0.0, 0.0, 0.0))[1] < LCS_ALONE:
+                        best[d, i] = (1.0, 1.0, 1.0)
                 rows = [(doc_ids[d], block.item_ids[i], *x) for (d, i), x in best.items()]
                 if rows:
                     c = list(zip(*rows, strict=True))
@@ -281,8 +311,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = RANK, cosin
     """doc_id, item_id, cosine, lcs (weighted share of the item) and answer (share of the answer's weight).
 
     A row for each document and item that stands in it, nearly or exactly. Null and empty texts and items match nothing;
-    repeated rows of documents each give rows; items whose words all are common words have no direction and match
-    nothing. Of docs only doc_id and text are read, of the benchmark item_id and text.
+    repeated rows of documents each give rows. An exact copy that no window comes near to has cosine, lcs and answer 1.
+    Of docs only doc_id and text are read, of the benchmark item_id and text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -297,10 +327,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = RANK, cosin
         frequency = np.zeros(len(block.vocabulary))
         for term, n in counted.groupBy("term").agg(F.sum("n")).collect():  # at most the block's words
             frequency[term] = n
-        weight = np.log((total + 1) / (frequency + 1))
-        weight[frequency > COMMON * total] = 0
-        if not weight.any():
-            weight[:] = 1
+        weight = weights(frequency, total)
         own = spark.createDataFrame(pd.DataFrame({"passage": [x[a : a + STEP * PARTS].tolist() for x in block.items for a in range(0, len(x), STEP * PARTS)]}), "passage array<int>")
         space = latent_space(own, weight, rank)
         hits = rows.mapInArrow(_search(block, weight, space, cosine), _HIT)
