@@ -244,6 +244,25 @@ def test_leaks_of_items_in_many_documents(spark, frame):
     assert got == {(0, 1), *((i, 0) for i in range(31))}
 
 
+def test_leaks_that_end_a_document(spark, frame):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    items = [" ".join(word() for _ in range(n)) for n in (24, 30, 36, 48, 60, 90) for _ in range(2)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts, want = [], set()
+    for i, t in enumerate(items):
+        w = t.split()
+        for before in range(40, 52):
+            # the first words are changed, so that little can be missed at the end
+            for changed in (0, len(w) // 6):
+                want.add((len(texts), i))
+                texts.append(" ".join([*(word() for _ in range(before)), *(word() for _ in range(changed)), *w[changed:]]))
+    texts += [" ".join(word() for _ in range(80)) for _ in range(100)]
+    got = {(r.doc_id, r.item_id): r.lcs for r in decontaminate.find_leaks(frame(texts), bench).collect()}
+    assert set(got) == want
+    assert all(got[d, i] > 0.999 for d, i in want if d % 2 == 0)
+
+
 def test_weight_of_common_subsequence():
     weight = np.array([1.0, 2, 3, 4])
     assert decontaminate.lcs_weight(np.array([0, 1, 2, 3]), weight, np.array([1, 9, 0, 2, 3])) == 9

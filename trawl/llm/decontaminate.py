@@ -231,7 +231,8 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float):
         if most < LCS_WITH_ANSWER * whole:
             return 0.0, 0.0
         best, answer = 0.0, 0.0
-        for at in range(0, max(1, len(near) - span + 1), max(1, len(text) // 6)):
+        last = max(0, len(near) - span)
+        for at in [*range(0, last, max(1, len(text) // 6)), last]:
             run = near[at : at + span]
             share = lcs_weight(text, values[item], run[run >= 0]) / whole
             if share > best:
@@ -283,8 +284,7 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float):
                             if (d, i) not in best or found[1] > best[d, i][1]:
                                 best[d, i] = found
                 for d, i in exact(terms, firsts):
-                    if best.get((d, i), (0.0, 0.0, 0.0))[1] < LCS_ALONE:
-                        best[d, i] = (1.0, 1.0, 1.0)
+                    best[d, i] = (best.get((d, i), (1.0,))[0], 1.0, 1.0)
                 rows = [(doc_ids[d], block.item_ids[i], *x) for (d, i), x in best.items()]
                 if rows:
                     c = list(zip(*rows, strict=True))
@@ -311,8 +311,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, rank: int = RANK, cosin
     """doc_id, item_id, cosine, lcs (weighted share of the item) and answer (share of the answer's weight).
 
     A row for each document and item that stands in it, nearly or exactly. Null and empty texts and items match nothing;
-    repeated rows of documents each give rows. An exact copy that no window comes near to has cosine, lcs and answer 1.
-    Of docs only doc_id and text are read, of the benchmark item_id and text.
+    repeated rows of documents each give rows. Of an exact copy lcs and answer are 1, and
+    so is the cosine if no window comes near to it. Of docs only doc_id and text are read, of the benchmark item_id and text.
     """
     spark = docs.sparkSession
     small_batches(spark)
