@@ -184,6 +184,48 @@ def test_secrets_are_found_and_false_ones_fall(frame):
     assert len(held) > 20 and all(r.is_secret == (r.doc_id < 120) for r in held)
 
 
+def test_secrets_behind_joined_names(frame):
+    values = {
+        'dbPassword: "correct!horse"': "correct!horse",
+        'accessToken="s3cr.etX!"': "s3cr.etX!",
+        'clientSecret = "abcDEF12"': "abcDEF12",
+        "export MY_API_KEY=abcdef1234567890": "abcdef1234567890",
+        "dbPassword=abcdef1234567890": "abcdef1234567890",
+        "x.y-auth : 'p@ss.w0rd'": "p@ss.w0rd",
+        "éètoken=q!w@e#r$": "q!w@e#r$",
+        "passwd : qwerty$1": "qwerty$1",
+    }
+    # what the pattern by look-behind at every place found, with names taken off long runs, is still found
+    names = "|".join(secrets.NAMES)
+    ahead = rf"""(?i:{names})["']?\s{{0,2}}[:=]\s{{0,2}}["']?"""
+    value = re.compile(r"""[^\s"',;]{6,}""")
+    run = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
+    draw = random.Random(6)
+    parts = ["key", "my", "Token", "_", ".", "-", "=", ": ", ' = "', '"', " ", "'", "/", "secret: ", "abc1", "q!w@e#", "12345678", "é", "\n", ",", "pwd=", "auth"]
+    noise = ["".join(draw.choice(parts) for _ in range(40)) for _ in range(400)]
+
+    def plain(text):
+        at = 0
+        while at < len(text):
+            m = value.match(text, at) if re.search(rf"{ahead}\Z", text[max(0, at - 24) : at]) else None
+            if m := m or run.match(text, at):
+                yield m.span()
+            at = m.end() if m else at + 1
+
+    texts = [*values, *noise]
+    got = collections.defaultdict(list)
+    for r in secrets.candidates(frame(texts)).collect():
+        assert texts[r.doc_id][r.start : r.start + len(r.found)] == r.found
+        got[r.doc_id].append((r.start, r.start + len(r.found)))
+    for i, v in enumerate(values.values()):
+        assert [texts[i][a:b] for a, b in got[i]] == [v]
+    for i, text in enumerate(texts):
+        held = {x for a, b in got[i] for x in range(a, b)}
+        for a, b in plain(text):
+            name = re.match(rf"[A-Za-z0-9_-]*(?i:{names})=", text[a:b])
+            assert set(range(a + (name.end() if name else 0), b)) <= held, (text, text[a:b])
+
+
 def test_secrets_run_no_python_and_bear_nothing(frame, empty):
     assert secrets.scan(empty).count() == 0
     assert secrets.scan(frame([None, "plain"])).count() == 0

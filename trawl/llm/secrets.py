@@ -33,11 +33,13 @@ DUMMY = ("example", "dummy", "sample", "placeholder", "your", "changeme", "xxxx"
 DIGESTS = ("commit", "sha", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "revision")
 CONTACT = ("mail", "phone", "call", "card", "account", "iban", "invoice", "order", "isbn", "tel")
 
-_ASSIGNED = rf"""(?i:{"|".join(NAMES)})["']?\s{{0,2}}[:=]\s{{0,2}}["']?"""
-_KEYED = rf"""(?<![A-Za-z0-9]){_ASSIGNED}[^\s"',;]{{6,}}"""
-_LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}"
-#: A match is a credential's name with the value assigned to it, or a long run with a digit; names stand at a word's
-#: start, so that few places of a text are tried.
+_NAME = f"(?i:{'|'.join(NAMES)})"
+_TO = r"""["']?\s{0,2}[:=]\s{0,2}["']?"""
+_VALUE = r"""[^\s"',;]{6,}"""
+_KEYED = rf"""(?<=[:=\s"'])(?<=[:=]\s{{0,2}}["']?)(?<={_NAME}{_TO}){_VALUE}"""
+_LONG = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?![A-Za-z0-9_-]*+(?<={_NAME})={_VALUE})[A-Za-z0-9+/_=-]{{16,}}"
+#: A match is the value assigned to a name that ends in a credential's (dbPassword, API_KEY), or a long run with a digit
+#: that does not begin with such a name and its `=`. What stands before a value is looked at nearest first, so that few places of a text are tried.
 CANDIDATE = f"{_KEYED}|{_LONG}"
 #: A text without this holds no candidate.
 _HINT = r"[0-9]|[:=]"
@@ -66,16 +68,11 @@ def candidates(docs: DataFrame) -> DataFrame:
             (F.get("starts", i) + F.length(F.get("gaps", i))).alias("start"),
         ),
     )
-    each = cut.withColumn("starts", starts).select("doc_id", "path", one.alias("all")).select("doc_id", "path", F.posexplode("all").alias("ordinal", "one"))
-    name = F.regexp_extract("one.found", f"^{_ASSIGNED}", 0)
-    return each.select(
-        "doc_id",
-        "path",
-        "ordinal",
-        (F.col("one.start") + F.length(name)).alias("start"),
-        F.substring("one.found", F.length(name) + 1, F.length("one.found")).alias("found"),
-        F.concat("one.before", name).alias("before"),
-        "one.after",
+    return (
+        cut.withColumn("starts", starts)
+        .select("doc_id", "path", one.alias("all"))
+        .select("doc_id", "path", F.posexplode("all").alias("ordinal", "one"))
+        .select("doc_id", "path", "ordinal", "one.start", "one.found", "one.before", "one.after")
     )
 
 
