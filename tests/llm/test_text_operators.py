@@ -349,6 +349,13 @@ def test_shingle_classes(frame, prose, column, bits):
     assert [got[i] for i in range(len(texts))] == classes(texts)
 
 
+@pytest.mark.parametrize("raw", [b"", b"one", b"One two", b"one two three", b"one two three four", b"one two three four five"])
+def test_shingles_of_one_short_document(raw):
+    (alone,) = shingles.shingle_sets([raw], shingles._WordHashes())
+    beside, _ = shingles.shingle_sets([raw, b"a b c d e f g h"], shingles._WordHashes())
+    assert len(alone) == (1 if raw else 0) and (alone == beside).all()
+
+
 def test_shingles_of_nothing_and_repeated_rows(spark, frame, empty):
     assert shingles.link_classes(empty).count() == 0
     twice = frame(["a b c d e f", None]).unionAll(frame(["a b c d e f"])).unionAll(frame(["A b c d e f"], 7))

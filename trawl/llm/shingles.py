@@ -53,7 +53,7 @@ def shingle_sets(raws: list[bytes], hashes: dict[bytes, int], words: int = WORDS
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     flat = np.fromiter((hashes[w] for x in found for w in x), np.uint64, int(lengths.sum()))
     runs = flat.copy()
-    for j in range(1, words):
+    for j in range(1, min(words, len(flat))):
         runs[: len(flat) - j] = runs[: len(flat) - j] * _STEP + flat[j:]
     runs = mix64(runs)
     out, at = [], 0
