@@ -184,6 +184,29 @@ def test_secrets_are_found_and_false_ones_fall(frame):
     assert len(held) > 20 and all(r.is_secret == (r.doc_id < 120) for r in held)
 
 
+def test_secrets_unquoted_and_bare(frame):
+    draw = random.Random(12)
+    code = lambda n: "".join(draw.choice("abcdefghijkmnpqrABCDEFGH23456789") for _ in range(n)) + "7"
+    forms = [
+        lambda: f"export API_KEY={code(24)}\n",
+        lambda: f"db:\n  password: {code(14)}\n",
+        lambda: f"push with ghp_{code(36)} then",
+        lambda: f"id AKIA{code(16).upper()} of",
+        lambda: f"Authorization: Bearer {code(30)}",
+        lambda: f'your test token = "{code(30)}" for',
+        lambda: f'some words token = "{code(30)}" and',
+    ]
+    real = [f() for f in forms for _ in range(40)]
+    clean = [f"invoice card 4{draw.randrange(10**14, 10**15)} of the order" for _ in range(120)] + [f"commit {code(40)} sha checksum" for _ in range(60)]
+    rows = secrets.scan(frame(real + clean)).collect()
+    held = [r for r in rows if r.held_out]
+    assert {r.doc_id // 40 for r in held if r.doc_id < len(real)} == set(range(len(forms)))
+    assert [r.doc_id for r in held if r.is_secret != (r.doc_id < len(real))] == []
+    # one bare token among quoted ones only
+    few = [f'some words token = "{code(30)}" and' for _ in range(60)] + clean + [f"push with ghp_{code(36)} then"]
+    assert [r.is_secret for r in secrets.scan(frame(few)).collect() if r.doc_id == len(few) - 1] == [True]
+
+
 def test_secrets_behind_joined_names(frame):
     values = {
         'dbPassword: "correct!horse"': "correct!horse",

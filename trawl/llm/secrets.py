@@ -33,6 +33,9 @@ DUMMY = ("example", "dummy", "sample", "placeholder", "your", "changeme", "xxxx"
 DIGESTS = ("commit", "sha", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "revision")
 CONTACT = ("mail", "phone", "call", "card", "account", "iban", "invoice", "order", "isbn", "tel")
 
+#: How tokens of well-known services begin; one after `bearer` counts as well.
+KNOWN = r"^(gh[pousr]_|github_pat_|glpat-|AKIA|ASIA|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|ya29|npm_|eyJ)[A-Za-z0-9_.+/=-]{12,}$"
+
 _NAME = f"(?i:{'|'.join(NAMES)})"
 _TO = r"""["']?\s{0,2}[:=]\s{0,2}["']?"""
 _VALUE = r"""[^\s"',;]{6,}"""
@@ -96,7 +99,7 @@ def _covered(found: DataFrame) -> DataFrame:
 
 FEATURES = (
     "log_length", "transitions", "alternations", "digits", "upper", "hex", "symbols", "distinct", "entropy", "covered",
-    "named", "assigned", "quoted", "dummy", "digest", "contact", "near_digits", "path_depth", "path_test", "path_findings",
+    "known", "named", "assigned", "quoted", "dummy", "dummy_near", "digest", "contact", "near_digits", "path_depth", "path_test", "path_findings",
 )
 
 
@@ -124,10 +127,12 @@ def described(found: DataFrame) -> DataFrame:
         "symbols": _share("found", "[^A-Za-z0-9]"),
         "distinct": F.size(different) / n,
         "entropy": bits,
+        "known": flag(F.col("found").rlike(KNOWN) | (F.col("before").rlike(r"(?i)\bbearer\s{1,2}$") & F.col("found").rlike("[0-9]"))),
         "named": flag(F.col("before").rlike(_any(NAMES) + r"\W{0,6}$")),
         "assigned": flag(F.col("before").rlike(r"""[:=]\s*["']?$""")),
         "quoted": flag(F.col("before").rlike("""["']$""") & F.col("after").rlike("""^["']""")),
-        "dummy": flag(F.concat_ws(" ", near, "found").rlike(_any(DUMMY))),
+        "dummy": flag(F.col("found").rlike(_any(DUMMY))),
+        "dummy_near": flag(near.rlike(_any(DUMMY))),
         "digest": flag(near.rlike(_any(DIGESTS))),
         "contact": flag(near.rlike(_any(CONTACT))),
         "near_digits": F.length(F.regexp_replace(near, "[^0-9]", "")) / (1 + F.length(near)),
@@ -139,33 +144,53 @@ def described(found: DataFrame) -> DataFrame:
 
 
 def labelled_by_rule(rows: DataFrame) -> DataFrame:
-    """Labelled findings where no reviewed ones are at hand: label 1 for a quoted value of high entropy that is assigned
-    to a credential's name and has no dummy word beside it, 0 for any other candidate."""
-    real = (F.col("named") > 0) & (F.col("assigned") > 0) & (F.col("quoted") > 0) & (F.col("entropy") >= 2.5) & (F.col("dummy") == 0)
-    return rows.withColumn("label", real.cast("double"))
+    """Candidates with a label where no reviewed ones are at hand; null where the rule cannot judge.
+
+    1: a known token, or a value of high entropy assigned to a credential's name, which unquoted must mix letters and
+    other characters, if no dummy word is in it or, for assigned ones, beside it. 0: a value with a dummy word in it, an
+    assigned one of low entropy, and what has neither a name nor a known form and is without letters, mostly words of the
+    dictionary, or beside words of digests and contacts.
+    """
+    mixed = (F.col("quoted") > 0) | ((F.col("digits") + F.col("symbols") > 0) & F.col("found").rlike("[A-Za-z]"))
+    given = (F.col("named") > 0) & (F.col("assigned") > 0)
+    real = (F.col("known") > 0) | given & (F.col("entropy") >= 2.5) & mixed & (F.col("dummy_near") == 0)
+    bare = (F.col("known") == 0) & (F.col("named") == 0)
+    other = bare & (~F.col("found").rlike("[A-Za-z]") | (F.col("covered") >= 0.5) | (F.col("digest") > 0) | (F.col("contact") > 0))
+    false = (F.col("dummy") > 0) | given & (F.col("known") == 0) & (F.col("entropy") < 2.5) | other
+    return rows.withColumn("label", F.when(false, 0.0).when(real, 1.0))
+
+
+#: The rule says nothing of quotes or of dummy words around a value, so a forest taught by it does not look at them.
+UNTAUGHT = ("quoted", "dummy_near")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, *, trees: int = TREES, depth: int = DEPTH, most: int = LABELLED, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
     """A row for each candidate: doc_id, ordinal, start, length, shown, sha256, held_out, score, is_secret.
 
     `labelled` has reviewed findings as doc_id, ordinal and label (0 or 1; null labels are left out); without it a rule
-    gives the labels. The forest learns from documents whose crc32(doc_id as text) mod 5 is not 0. Where the labels are
-    all alike or there are none, the score is their share of 1, or 0. The finding itself is shown by four characters and
+    gives the labels of those it can judge, and known tokens without a dummy word are secrets whatever their score. The forest learns from documents whose crc32(doc_id as text) mod 5 is not 0. Where the labels are
+    all alike or there are none, the score is their share of 1, or 0; findings
+    that the rule cannot judge then have 0. The finding itself is shown by four characters and
     its digest only. Ties of position cannot occur: candidates of a text do not overlap.
     """
     rows = described(candidates(docs).persist(StorageLevel.MEMORY_AND_DISK)).withColumn("held_out", remainder(F.col("doc_id"), 5) == 0).persist(StorageLevel.MEMORY_AND_DISK)
     if labelled is None:
-        learning = labelled_by_rule(rows)
+        rows = labelled_by_rule(rows)
+        learning = rows.filter("label is not null")
+        used = [f for f in FEATURES if f not in UNTAUGHT]
+        sure, unjudged = (F.col("known") > 0) & (F.col("dummy") == 0), F.col("label").isNull()
     else:
+        used = list(FEATURES)
+        sure, unjudged = F.lit(False), F.lit(False)
         marks = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ordinal").cast("int").alias("ordinal"), F.col("label").cast("double").alias("label"))
         learning = rows.join(marks.filter("label is not null").dropDuplicates(["doc_id", "ordinal"]), ["doc_id", "ordinal"])
     learning = learning.filter("not held_out")
     fitted = learning.orderBy(F.xxhash64("doc_id", "ordinal", "found", F.lit(seed)), "doc_id", "ordinal").limit(most).select("label", *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     seen = fitted.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).first()
     if not seen["n"] or seen["share"] in (0.0, 1.0):
-        scored = rows.withColumn("score", F.lit(float(seen["share"] or 0.0)))
+        scored = rows.withColumn("score", F.when(unjudged, 0.0).otherwise(F.lit(float(seen["share"] or 0.0))))
     else:
-        gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+        gather = VectorAssembler(inputCols=used, outputCol="features")
         forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=64)
         model = forest.fit(gather.transform(fitted).select("label", "features"))
         scored = model.transform(gather.transform(rows)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
@@ -178,5 +203,5 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, *, trees: int = TRE
         F.sha2(F.col("found").cast("binary"), 256).alias("sha256"),
         "held_out",
         "score",
-        (F.col("score") >= threshold).alias("is_secret"),
+        ((F.col("score") >= threshold) | sure).alias("is_secret"),
     )
