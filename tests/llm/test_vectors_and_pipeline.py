@@ -52,6 +52,24 @@ def test_vector_links(spark, block):
     assert (got.loc[1000:].n_links == 0).all() and got.loc[1000:].kept.all()
 
 
+def test_vectors_of_several_dimensions(spark):
+    draw = np.random.default_rng(2)
+    rows, want = [], {}
+    for dim, n in ((16, 60), (8, 30), (1, 2)):
+        first = len(rows)
+        for i in range(n):
+            v = draw.normal(size=dim) if dim > 1 else np.ones(1)
+            rows += [(len(rows) + k, [float(x) for x in v]) for k in (0, 1)]
+        want[dim] = range(first, len(rows))
+    got = neardup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").sort_index()
+    assert len(got) == len(rows)
+    for dim, ids in want.items():
+        ours = got.loc[ids]
+        assert (ours.n_links >= 1).all() and ours.component_id.isin(ids).all()
+        n, _ = all_pairs([np.array(rows[i][1]) for i in ids])
+        assert (ours.n_links.to_numpy() <= n).all()
+
+
 def test_vectors_of_nothing(spark):
     assert neardup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert neardup.link_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().kept

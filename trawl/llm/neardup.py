@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -169,23 +170,12 @@ def _compare(cosine: float):
     return meet
 
 
-def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors.
-
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; so do those whose
-    dimension is not the most frequent one. Equal vectors are one node and link with each other. An empty table gives an
-    empty result; only the two named columns are read. Pairs below the cosine never link; of those at it or above, the
-    tables miss a few (see MISS), fewer the closer they are.
-    """
-    clean = _clean(vectors, vec_id, embedding).persist(StorageLevel.MEMORY_AND_DISK)
-    usual = clean.filter("dim is not null").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    alone = clean.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if usual is None:
-        return alone
-    good = clean.filter((F.col("dim") == usual["dim"]) & F.col("vec_id").isNotNull())
+def _classes(clean: DataFrame, dim: int, n: int, cosine: float, sample: int, bits: int, block: int) -> DataFrame:
+    """print, n_links, class of the n vectors of one dimension."""
+    good = clean.filter((F.col("dim") == dim) & F.col("vec_id").isNotNull())
     drawn = good.select("unit", F.xxhash64("vec_id", F.lit(SEED)).alias("draw"), "vec_id").orderBy("draw", "vec_id").limit(sample).toPandas()
     quantiser = learn(_unit([bytes(b) for b in drawn["unit"]]), bits)
-    tables = tables_for(usual["n"], cosine, bits)
+    tables = tables_for(n, cosine, bits)
     nodes = good.groupBy("print").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")).persist(StorageLevel.MEMORY_AND_DISK)
     encoded = nodes.select("node", "copies", "unit").mapInArrow(_encode(quantiser, tables), "node long, copies long, unit binary, buckets array<int>").persist(StorageLevel.MEMORY_AND_DISK)
     sizes = encoded.select(F.posexplode("buckets").alias("t", "bucket")).groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("m"))
@@ -196,13 +186,28 @@ def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     found = dealt.groupBy("t", "bucket", "i", "j").applyInArrow(_compare(cosine), "node long, n long, root long").persist(StorageLevel.MEMORY_AND_DISK)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = connected(found, "node", "root")
-    classes = (
+    return (
         nodes.select("print", "node", "copies")
         .join(counts, "node", "left")
         .join(roots.select(F.col("id").alias("node"), "root"), "node", "left")
         .select("print", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("class"))
     )
-    linked = clean.select("vec_id", F.when((F.col("dim") == usual["dim"]) & F.col("vec_id").isNotNull(), F.col("print")).alias("print")).join(classes, "print", "left")
+
+
+def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of vectors.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Others link with those
+    of their own dimension, each dimension with its own rotation and tables. Equal vectors are one node and link with each other. An empty table gives an
+    empty result; only the two named columns are read. Pairs below the cosine never link; of those at it or above, the
+    tables miss a few (see MISS), fewer the closer they are.
+    """
+    clean = _clean(vectors, vec_id, embedding).persist(StorageLevel.MEMORY_AND_DISK)
+    dims = clean.filter("dim is not null and vec_id is not null").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()  # one row a dimension
+    if not dims:
+        return clean.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    classes = reduce(DataFrame.unionAll, [_classes(clean, d["dim"], d["n"], cosine, sample, bits, block) for d in dims])
+    linked = clean.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("print")).alias("print")).join(classes, "print", "left")
     return linked.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
