@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from trawl.llm import decontaminate, language, lattice, neardup, packing, pii, quality, secrets, shingles, suffixes
+from trawl.llm import decontaminate, infill, language, lattice, merkle, neardup, packing, pii, quality, secrets, shingles, suffixes, tokenfiles
 from trawl.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digested(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op2_suffixes": op2_suffixes,
@@ -64,8 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op11_tokens": op11_tokens,
+    "op12_merkle": op12_merkle,
+    "op13_infill": op13_infill,
     "pipeline": corpus_pipeline.run,
 }
 
-#: None of these can be said in SQL; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+#: Models, tokenizers and sketches cannot be said in SQL on whole tables; tests/llm holds the others against brute force.
+ORACLES: dict[str, str] = {"op12_merkle": merkle.oracle(), "op13_infill": infill.ORACLE}
