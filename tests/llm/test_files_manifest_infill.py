@@ -123,6 +123,14 @@ def test_files_give_back_every_document(spark, frame, prose, tmp_path):
     check_files(spark, both.withColumn("data", F.lit(1)).withColumn("part", F.lit(2)).repartition(5), str(tmp_path / "a"))
 
 
+def test_a_document_id_of_many_rows_spreads_over_parts(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "PART_IDS", 200)
+    rows = frame([f"text {i % 90} of many" for i in range(300)]).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 77).when(F.col("doc_id") % 10 == 1, None).otherwise(F.col("doc_id")))
+    check_files(spark, rows.repartition(4), str(tmp_path / "a"))
+    blocks = spark.read.parquet(str(tmp_path / "a/blocks"))
+    assert blocks.filter(F.array_contains("doc_ids", 77)).select("part").distinct().count() > 1
+
+
 def test_files_of_an_empty_table(spark, empty, tmp_path):
     check_files(spark, empty, str(tmp_path / "a"))
 

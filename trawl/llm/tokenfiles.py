@@ -26,7 +26,12 @@ from trawl.llm.tokens import Encoder, with_end
 
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 18
-SLICE = 4 << 20
+SLICE = 8 << 20
+#: Ids of a part, about; parts are dealt by quantiles of doc_id this near to the true ones, as a share of a part.
+PART_IDS = 4 << 20
+NEAR = 0.1
+#: What a null doc_id counts as when parts are dealt.
+FIRST = -(1 << 63)
 BLOCKS = "part int, block int, start long, n_ids long, doc_ids array<long>, doc_tokens array<long>, data binary, points binary"
 
 
@@ -35,18 +40,25 @@ def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
+def id_type(vocabulary: str) -> str:
+    """Two bytes an id where they hold every id of the vocabulary, else four."""
+    return "<u2" if Encoder.of(vocabulary).vocabulary <= 1 << 16 else "<u4"
+
+
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit numbers) of every document, end_id last; null text is empty."""
+    """doc_id, n_tokens and ids (little-endian, as `id_type` says) of every document, end_id last; null text is empty."""
+    kind = id_type(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 ids, bounds = with_end(*encoder.encode(part.column("text")), end_id)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _binary(ids.astype("<u4").view(np.uint8), 4 * bounds)], ["doc_id", "ids"])
+                raw = _binary(ids.astype(kind).view(np.uint8), np.dtype(kind).itemsize * bounds)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), raw], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(encode, "doc_id long, ids binary")
+    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
 
 def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -57,13 +69,13 @@ def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(data).view(kind), (offsets - offsets[0]) // width
 
 
-def global_code(tokens: DataFrame) -> Code:
+def global_code(tokens: DataFrame, kind: str) -> Code:
     """The code of all ids by their counts over all documents. What meets the driver is a row an id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            seen = np.bincount(_flat(batch.column("ids"), "<u4")[0])
+            seen = np.bincount(_flat(batch.column("ids"), kind)[0])
             if len(seen) > len(total):
                 total, seen = seen.astype(np.int64), total
             total[: len(seen)] += seen
@@ -74,24 +86,43 @@ def global_code(tokens: DataFrame) -> Code:
     return Code(counted["id"].to_numpy(np.int64), code_lengths(counted["n"].to_numpy(np.int64)))
 
 
-def _coded(tokens: DataFrame, code: Code) -> DataFrame:
-    """doc_id, n_tokens, mark (crc32 of the ids), the document's codes, and the bit lengths of its runs."""
+def _ranges(tokens: DataFrame) -> list[int]:
+    """The doc_ids at which parts of about PART_IDS ids begin, by a read of the ids' numbers alone; a doc_id of many
+    rows begins many. What meets the driver is a number a part."""
+    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = max(1, -(-total // PART_IDS))
+    ids = tokens.select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc_id"))
+    return [int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], NEAR / parts)] if parts > 1 else []
+
+
+def _part(doc_ids: np.ndarray, marks: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The part of each row; rows of a doc_id that begins several are dealt to these by their mark, in its order."""
+    low, high = np.searchsorted(begins, doc_ids, side="left"), np.searchsorted(begins, doc_ids, side="right")
+    return low + ((marks * (high - low + 1)) >> 32)
+
+
+def _coded(tokens: DataFrame, code: Code, kind: str, ranges: list[int]) -> DataFrame:
+    """part, doc_id, n_tokens, mark (crc32 of the ids), the document's codes, and the bit lengths of its runs."""
+    begins = np.array(ranges, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "ids", 4 * SLICE):
-                ids, bounds = _flat(part.column("ids"), "<u4")
+                ids, bounds = _flat(part.column("ids"), kind)
+                ids = ids.astype("<u4")
                 data, byte_bounds, marks, point_bounds = code.encode(ids, bounds)
                 ends = np.cumsum(code.size[ids])
                 runs = np.diff(np.concatenate([marks, np.zeros(1, np.int64)]))
                 last = point_bounds[1:] - 1
                 bits = ends[bounds[1:] - 1] - np.concatenate([np.zeros(1, np.int64), ends])[bounds[:-1]]
                 runs[last] = bits - marks[last]
-                sums = [zlib.crc32(ids[a:b].data) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                columns = [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sums, pa.int64()), _binary(data, byte_bounds), _binary(runs.astype("<u2").view(np.uint8), 2 * point_bounds)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "mark", "data", "points"])
+                sums = np.fromiter((zlib.crc32(ids[a:b].data) for a, b in zip(bounds[:-1], bounds[1:], strict=True)), np.int64, len(bounds) - 1)
+                where = _part(part.column("doc_id").fill_null(FIRST).to_numpy(), sums, begins)
+                columns = [pa.array(where.astype(np.int32)), part.column("doc_id"), part.column("n_tokens"), pa.array(sums)]
+                columns += [_binary(data, byte_bounds), _binary(runs.astype("<u2").view(np.uint8), 2 * point_bounds)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "n_tokens", "mark", "data", "points"])
 
-    return tokens.mapInArrow(encode, "doc_id long, n_tokens long, mark long, data binary, points binary")
+    return tokens.mapInArrow(encode, "part int, doc_id long, n_tokens long, mark long, data binary, points binary")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,17 +153,17 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int =
 
     Null doc_ids come first; rows of one doc_id go by the checksum of their ids. Null text is an empty document, its end
     id alone; texts of any length are one row each; other columns are not looked at. An empty table gives empty tables.
-    Texts are encoded once, into a table beside the result, which counting and coding read; documents are then dealt by
-    ranges of doc_id in coded form. Equal ids are told apart by a row number so that many copies of one still spread.
+    Texts are encoded once, into a table beside the result, which counting and coding read; documents are then dealt to
+    parts in coded form. Many rows of one doc_id, or of none, spread over parts by their checksums.
     """
     spark = docs.sparkSession
     token_table(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(f"{folder}/ids")
     tokens = spark.read.parquet(f"{folder}/ids")
-    code = global_code(tokens)
+    kind, ranges = id_type(vocabulary), _ranges(tokens)
+    code = global_code(tokens, kind)
     told = spark.createDataFrame([(int(s), int(n)) for s, n in zip(code.symbols, code.lengths, strict=True)], "id int, length int")
     told.coalesce(1).write.parquet(f"{folder}/code")
-    order = ["doc_id", "mark", "copy"]
-    dealt = _coded(tokens, code).withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = _coded(tokens, code, kind, ranges).repartitionById(len(ranges) + 1, "part").sortWithinPartitions("doc_id", "mark")
     dealt.select("doc_id", "n_tokens", "data", "points").mapInArrow(_joined, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
