@@ -17,80 +17,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import ragged, slices, texts
+from trawl.llm.common import slices
+from trawl.llm.tokens import Encoder, with_end
 
 SEQUENCE = 4096
 END_ID = 2
 #: A group holds about so many tokens and pieces, which bounds a task's memory and time.
 GROUP_TOKENS = 8 << 20
 GROUP_PIECES = 200_000
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 1 << 20
-
-
-class Encoder:
-    """Token ids of texts, by way of their words.
-
-    The vocabulary's normaliser and splitter never look across a space or a line feed, so a text's ids are its words'
-    ids in a row; a worker encodes each different word once.
-    """
-
-    _kept: dict[str, Encoder] = {}
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.arena = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
-
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
-
-    def _learn(self, words: list[str]) -> None:
-        at = len(self.known)
-        if at + len(words) > len(self.starts):
-            room = 2 * (at + len(words))
-            self.starts, self.lengths = (np.concatenate([x, np.zeros(room - len(x), np.int64)]) for x in (self.starts, self.lengths))
-        for first in range(0, len(words), 4096):
-            some = words[first : first + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-            if self.used + len(flat) > len(self.arena):
-                self.arena = np.concatenate([self.arena, np.zeros(max(len(self.arena), len(flat)), np.uint32)])
-            self.arena[self.used : self.used + len(flat)] = flat
-            here = slice(at + first, at + first + len(some))
-            self.lengths[here] = lengths
-            self.starts[here] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(flat)
-        for i, w in enumerate(words, at):
-            self.known[w] = i
-
-    def encode(self, some: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").split(" ") for t in some]
-        if len(self.known) > CACHE_WORDS:
-            self._reset()
-        fresh = {w for x in words for w in x if w not in self.known}
-        if fresh:
-            self._learn(sorted(fresh))
-        known = self.known
-        rows = np.fromiter((known[w] for x in words for w in x), np.int64, sum(map(len, words)))
-        lengths = self.lengths[rows]
-        ids = self.arena[ragged(self.starts[rows], lengths)]
-        per_word = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = per_word[np.cumsum([0, *map(len, words)])]
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -106,18 +40,19 @@ def pieces(docs: DataFrame, vocabulary: str, *, end_id: int = END_ID, sequence:
         encoder = Encoder.of(vocabulary)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows: list[tuple] = []
-                kept: list[np.ndarray] = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts(part)), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), sequence):
-                        piece = ids[start : start + sequence]
-                        rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-                        kept.append(piece)
-                columns = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)]
+                flat, bounds = with_end(*encoder.encode(part.column("text")), end_id)
+                flat = flat.astype("<u4")
+                sizes = np.diff(bounds)
+                counts = -(-sizes // sequence)
+                row = np.repeat(np.arange(len(sizes)), counts)
+                starts = sequence * (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))
+                lengths = np.minimum(sequence, sizes[row] - starts)
+                begins = bounds[row] + starts
+                marks = [zlib.crc32(flat[a : a + n].data) for a, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
+                columns = [part.column("doc_id").take(pa.array(row)), pa.array(starts), pa.array(lengths), pa.array(marks, pa.int64()), pa.array(sizes[row])]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    columns.append(pa.array([x.astype(np.int32) for x in kept], pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(begins, len(flat)), pa.int32()), pa.array(flat.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
