@@ -27,6 +27,8 @@ from trawl.llm.tokens import Encoder, with_end
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 18
 SLICE = 8 << 20
+#: Bytes of ids that are coded at once; each id takes about a hundred bytes of numbers meanwhile.
+CODED = 2 << 20
 #: Ids of a part, about; parts are dealt by quantiles of doc_id this near to the true ones, as a share of a part.
 PART_IDS = 4 << 20
 NEAR = 0.1
@@ -107,7 +109,7 @@ def _coded(tokens: DataFrame, code: Code, kind: str, ranges: list[int]) -> DataF
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "ids", 4 * SLICE):
+            for part in slices(batch, "ids", CODED):
                 ids, bounds = _flat(part.column("ids"), kind)
                 ids = ids.astype("<u4")
                 data, byte_bounds, marks, point_bounds = code.encode(ids, bounds)
