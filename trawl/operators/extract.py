@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.operators.code import code_occurrences
+
 #: Words and gaps alternate and together cover every character.
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 WORD = r"^[\p{L}\p{N}_]"
@@ -20,12 +22,16 @@ def _pieces(sources: DataFrame) -> DataFrame:
     return cut.withColumn("offset", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("long"))
 
 
-def extract_occurrences(sources: DataFrame, declares: tuple[str, ...] = ("the",), extends: tuple[str, ...] = ("of",)) -> DataFrame:
+def extract_occurrences(sources: DataFrame, declares: tuple[str, ...] = ("the",), extends: tuple[str, ...] = ("of",), *, profile: str = "prose") -> DataFrame:
     """project, path, word, offset (code points, from 0), kind, is_super, line_no (from 1), line_start.
 
-    A word declares if the word before it is one of `declares`, and stands in a super position if that is one of
+    The profile `scala` reads source code (see code.code_occurrences). In prose a word declares if the word before it is one of `declares`, and stands in a super position if that is one of
     `extends`, in lower case. Null contents give no rows (see quarantine_failures).
     """
+    if profile == "scala":
+        return code_occurrences(sources)
+    if profile != "prose":
+        raise ValueError(f"no such profile: {profile}")
     order = Window.partitionBy("project", "path").orderBy("pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
