@@ -105,6 +105,7 @@ SHAPES = {
     "val x = new Foo(1) with Bar { def y = 2 }": "D x, R <init>, S Foo, S Bar, D y",
     "f(new Foo, new Bar(x))": "R f, R <init>, R Foo, R <init>, R Bar, R x",
     "import a.b.{C, D => E}, f.G\nH": "R a, R b, R f, R H",
+    "import a.B": "R a",
     "package a.b\nclass C": "R a, R b, D C, D <init>",
     "type X = Y[Z]": "R Y, R Z",
     "@ann(arg) class A\n@ok(that) def f = 1\n@no val x = 2": "D A, D <init>, R ok, R that, D f, D x",

@@ -90,8 +90,8 @@ def _with_context(found: DataFrame) -> DataFrame:
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     near = found.select(
         "*",
-        F.lag("token").over(order).alias("before"),
-        F.lead("token").over(order).alias("after"),
+        F.lag("token", 1, "").over(order).alias("before"),
+        F.lead("token", 1, "").over(order).alias("after"),
         F.coalesce(F.col("line_no") > F.lag("line_no").over(order), F.lit(True)).alias("fresh"),
         (F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.when(opens, 1).otherwise(0)).alias("depth"),
     )
@@ -100,11 +100,11 @@ def _with_context(found: DataFrame) -> DataFrame:
     # what follows is what came last from the other end: a frame up to the end would be summed anew for every row
     later = Window.partitionBy(*FILE, "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     header = F.element_at(F.create_map(*[F.lit(x) for pair in HEADERS.items() for x in pair]), t)
-    begins = F.col("before").isin("(", "[", "{") | (F.col("fresh") & ~t.isin(*GOES_ON) & ~F.coalesce(F.col("before").isin(*OPEN_AFTER), F.lit(False)))
+    begins = F.col("before").isin("(", "[", "{") | (F.col("fresh") & ~t.isin(*GOES_ON) & ~F.col("before").isin(*OPEN_AFTER))
     selectors = (t == "{") & (F.col("before") == ".")  # of an import
-    event = F.coalesce(header, F.when((begins | t.isin(*ENDS)) & ~F.coalesce(selectors, F.lit(False)), "none"))
+    event = F.coalesce(header, F.when((begins | t.isin(*ENDS)) & ~selectors, "none"))
     # a name that begins a block or a line stands in no header; a bracket there is judged by the header before it
-    plain = F.coalesce(begins, F.lit(False)) & header.isNull() & ~closes
+    plain = begins & header.isNull() & ~closes
     kind = F.when(plain, F.lit("none")).otherwise(F.last(F.when(event.isNotNull(), F.struct(event.alias("kind"), "pos")), ignorenulls=True).over(prior)["kind"])
     since = F.last(F.when(event.isNotNull(), F.col("pos")), ignorenulls=True).over(prior)
     colon = F.last(F.when(t == ":", F.col("pos")), ignorenulls=True).over(prior)
@@ -147,7 +147,7 @@ def code_occurrences(sources: DataFrame) -> DataFrame:
     t, before, after = F.col("token"), F.col("before"), F.col("after")
     seen = _with_context(found)
     state, listed = F.coalesce("state", F.lit("told")), F.coalesce("list.open", F.lit(False))
-    parameter = listed & (F.col("depth") == F.col("list.depth") + 1) & (after == ":") & ~F.coalesce(before == ":", F.lit(False))
+    parameter = listed & (F.col("depth") == F.col("list.depth") + 1) & (after == ":") & (before != ":")
     value = (F.col("was") == "val") & ~F.col("typed") & (before == ",") & (F.col("header") == "val")
     declared = before.isin("def", "val", "var", "class", "trait", "object") | parameter | value
     self_name = (before == "{") & after.isin(":", "=>")

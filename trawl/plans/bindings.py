@@ -14,6 +14,28 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("source").alias("project"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
 
 
+#: Code made of a word of a line, @; a line's number modulo five chooses.
+CODE = (
+    "class @[T](arg: @, val more: T) extends Base[@](arg) with Other { self: Req => }",
+    '  def @[A](a: Int, b: List[A])(c: String): Map[A, @] = s"got ${@.size} of $a" // @ here',
+    "  val @, other: Foo = new Part(@) with Rest { }",
+    "import @.{inner, Other => _}, lib.@",
+    '/* class @ { */ object @ extends Root.Leaf; "def @"; @ + 1',
+)
+
+
+def code_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A source file for every document, a statement for every line, named after the line's first word."""
+    word = lambda line: F.concat(F.lit("w_"), F.regexp_extract(line, "[a-z]+", 0))
+    shapes = F.array(*map(F.lit, CODE))
+    code = F.transform(F.split("content", "\n"), lambda line, i: F.replace(F.element_at(shapes, i % len(CODE) + 1), F.lit("@"), word(line)))
+    return sources(spark, d).select("project", "path", F.array_join(code, "\n").alias("content"))
+
+
+def code_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    return extract_occurrences(code_sources(spark, d), profile="scala")
+
+
 def occurrences(spark: SparkSession, d: str) -> DataFrame:
     return extract_occurrences(sources(spark, d))
 

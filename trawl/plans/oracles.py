@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from trawl.plans.bindings import CODE
+
 _OCC = r"""
 cut AS (
   SELECT source AS project, 'doc_' || doc_id AS path, doc_id,
@@ -96,7 +100,43 @@ keyed AS (SELECT project, path, word, "offset", kind, is_super, count(*) AS n,
 audit AS (SELECT project, sum(n)::BIGINT AS n_rows, 0::BIGINT AS n_wrong, sum(n - 1)::BIGINT AS n_repeated, sum(n * astray)::BIGINT AS n_astray, sum(n - 1 + n * astray) = 0 AS is_clean FROM keyed GROUP BY project)"""
 )
 
+#: The lines of bindings.CODE with a mark before what they tell: ¹ a declaration, ² a reference, ³ one in a super
+#: position, ⁴ and ⁵ a constructor's declaration and reference.
+_TOLD = (
+    "class ⁴¹@[T](¹arg: ²@, val ¹more: ²T) extends ³Base[²@](²arg) with ³Other { self: ²Req => }",
+    '  def ¹@[A](¹a: ²Int, ¹b: ²List[²A])(¹c: ²String): Map[A, @] = ²s"got ${²@.²size} of $²a" // @ here',
+    "  val ¹@, ¹other: ²Foo = ⁵new ³Part(²@) with ³Rest { }",
+    "import ²@.{inner, Other => _}, ²lib.@",
+    '/* class @ { */ object ¹@ extends ³Root.³Leaf; "def @"; ²@ ²+ 1',
+)
+
+
+def _code_rows() -> str:
+    """VALUES: line modulo five, word (@ for the line's), other characters before it, times @ stands before it, kind, is_super."""
+    rows = []
+    for k, line in enumerate(_TOLD):
+        for mark in re.finditer("[¹²³⁴⁵]", line):
+            before = re.sub("[¹²³⁴⁵]", "", line[: mark.start()])
+            name = "<init>" if mark[0] in "⁴⁵" else re.match(r"@|\w+|\+", line[mark.end() :])[0]
+            kind = "Declaration" if mark[0] in "¹⁴" else "Reference"
+            rows.append(f"({k}, '{name}', {len(before) - before.count('@')}, {before.count('@')}, '{kind}', {str(mark[0] == '³').lower()})")
+    return ", ".join(rows)
+
+
+def _code(select: str) -> str:
+    sizes = " ".join(f"WHEN {k} THEN {len(x) - x.count('@')} + {x.count('@')} * length(w)" for k, x in enumerate(CODE))
+    return f"""WITH cut AS (SELECT source AS project, 'doc_' || doc_id AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+named AS (SELECT project, path, n, (n - 1) % {len(CODE)} AS k, 'w_' || regexp_extract(line, '[a-z]+') AS w FROM cut),
+lines AS (SELECT *, coalesce(sum(1 + CASE k {sizes} END) OVER (PARTITION BY project, path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start FROM named),
+told(k, name, chars, times, kind, is_super) AS (VALUES {_code_rows()}),
+occ AS (SELECT project, path, CASE name WHEN '@' THEN w ELSE name END AS word, (line_start + chars + times * length(w))::BIGINT AS "offset", kind, is_super, n::BIGINT AS line_no, line_start FROM lines JOIN told USING (k))
+{select}"""
+
+
 ORACLES: dict[str, str] = {
+    "extract_code": _code('SELECT project, path, word, "offset", line_no, line_start FROM occ'),
+    "extract_code_kinds": _code('SELECT project, path, word, "offset", kind FROM occ'),
+    "extract_code_super": _code('SELECT project, path, word, "offset" FROM occ WHERE is_super'),
     "extract_words": _occ('SELECT project, path, word, "offset", line_no, line_start FROM occ'),
     "extract_kinds": _occ("""SELECT project, path, word, "offset" FROM occ WHERE kind = 'Declaration'"""),
     "extract_super": _occ('SELECT project, path, word, "offset" FROM occ WHERE is_super'),

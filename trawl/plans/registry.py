@@ -51,6 +51,21 @@ def extract_super(spark, d):
     return search.find(b.occurrences(spark, d), is_super=True).select("project", "path", "word", "offset")
 
 
+@query
+def extract_code(spark, d):
+    return b.code_occurrences(spark, d).select("project", "path", "word", "offset", "line_no", "line_start")
+
+
+@query
+def extract_code_kinds(spark, d):
+    return b.code_occurrences(spark, d).select("project", "path", "word", "offset", "kind")
+
+
+@query
+def extract_code_super(spark, d):
+    return search.find(b.code_occurrences(spark, d), is_super=True).select("project", "path", "word", "offset")
+
+
 @query
 def extract_lines(spark, d):
     return extract.line_table(b.sources(spark, d))
