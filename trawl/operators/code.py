@@ -148,12 +148,12 @@ def code_occurrences(sources: DataFrame) -> DataFrame:
     seen = _with_context(found)
     state, listed = F.coalesce("state", F.lit("told")), F.coalesce("list.open", F.lit(False))
     parameter = listed & (F.col("depth") == F.col("list.depth") + 1) & (after == ":") & (before != ":")
-    value = (F.col("was") == "val") & ~F.col("typed") & (before == ",") & (F.col("header") == "val")
+    value = (F.col("header") == "val") & ~F.col("typed") & (before == ",")
     declared = before.isin("def", "val", "var", "class", "trait", "object") | parameter | value
     self_name = (before == "{") & after.isin(":", "=>")
     lambda_name = (after == "=>") & before.isin("{", "(") & ~listed
-    skipped = (state == "untold") | (before == "type") | ((F.col("was") == "import") & (after != ".")) | (self_name & (after == ":"))
-    anonymous = (F.col("was") == "new") & ((before == "with") | (before.isin("new", ".") & F.col("follows").isin("{", "with")))
+    skipped = (state == "untold") | (before == "type") | ((F.col("header") == "import") & (after != ".")) | (self_name & (after == ":"))
+    anonymous = (F.col("header") == "new") & ((before == "with") | (before.isin("new", ".") & F.col("follows").isin("{", "with")))
     parent = ((F.col("header") == "super") & ~declared) | (anonymous & ~declared)
     word = F.replace(t, F.lit("`"), F.lit(""))
     told = lambda w, kind, sup: F.struct(w.alias("word"), F.lit(0).alias("shift"), F.lit(kind).alias("kind"), sup.alias("is_super"))
