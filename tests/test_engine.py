@@ -98,11 +98,15 @@ def test_display_names(spark, qualified, display, long):
     assert (row.d, row.l) == (display, long)
 
 
-def symbol(name="x", owner="A", signature="Int", kind="method", accessor="", is_local=False):
-    return (name, owner, signature, kind, accessor, is_local)
+def symbol(name="x", owner="A", signature="Int", kind="method", accessor="", is_local=False, getter=None, setter=None):
+    return (name, owner, signature, kind, accessor, is_local, getter, setter)
 
 
-COLUMNS = "name string, owner string, signature string, kind string, accessor string, is_local boolean"
+COLUMNS = "name string, owner string, signature string, kind string, accessor string, is_local boolean, getter string, setter string"
+SET = "(Int)Unit"
+VAR = {"kind": "var", "getter": "Int", "setter": SET}
+GETTER = {"accessor": "getter", "getter": "Int", "setter": SET}
+SETTER = {"name": "x_=", "signature": SET, "accessor": "setter", "getter": "Int", "setter": SET}
 
 
 @pytest.mark.parametrize(
@@ -114,16 +118,71 @@ COLUMNS = "name string, owner string, signature string, kind string, accessor st
         (symbol(), symbol(owner="C"), True, "NotSame"),
         (symbol(), symbol(signature="String"), True, "NotSame"),
         (symbol(is_local=True), symbol(owner="B"), True, "NotSame"),
-        (symbol(kind="var"), symbol(name="x_=", accessor="setter"), True, "Same"),
-        (symbol(kind="val", name="x "), symbol(kind="class"), True, "NotSame"),
+        (symbol(is_local=True), symbol(is_local=True), True, "Same"),
+        (symbol(kind="val", name="x ", getter="Int"), symbol(kind="class"), True, "NotSame"),
         (symbol(kind="class"), symbol(kind="class"), True, "Same"),
+        # a value, its getter and its setter in all pairings
+        *((symbol(**a), symbol(**b), True, "Same") for a in (VAR, GETTER, SETTER) for b in (VAR, GETTER, SETTER)),
+        # a value and methods of its hierarchy: the setter by a setter's name, else the getter
+        (symbol(**VAR), symbol(name="x_=", owner="B", signature=SET), True, "Same"),
+        (symbol(**VAR), symbol(name="x_=", owner="B", signature="(String)Unit"), True, "NotSame"),
+        (symbol(**VAR), symbol(owner="B"), True, "Same"),
+        (symbol(**VAR), symbol(owner="B", signature=SET), True, "NotSame"),
+        (symbol(name="x_=", signature=SET), symbol(owner="B", **VAR), True, "Same"),
+        (symbol(), symbol(owner="B", **VAR), True, "Same"),
+        (symbol(), symbol(kind="val", owner="B", getter="Int"), True, "Same"),
+        (symbol(name="x_=", signature=SET), symbol(kind="val", owner="B", getter="Int"), True, "NotSame"),  # a val has no setter
+        # methods of different names are not the same, whatever their signatures
+        (symbol(name="x_=", signature=SET), symbol(name="x", signature=SET), True, "NotSame"),
+        # this.type: signatures differ, but one overrides the other
+        (symbol(signature="A.this.type"), symbol(owner="B", signature="B.this.type"), True, "Same"),
+        (symbol(signature="A.this.type"), symbol(owner="C", signature="B.this.type"), True, "NotSame"),
+        (symbol(signature="B.this.type"), symbol(owner="B", signature="A.this.type"), True, "NotSame"),
     ],
 )
 def test_comparison_rules(spark, entity, mention, resolved, verdict):
     kin = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "A"), ("B", "B"), ("C", "C")], "a string, b string")
+    pairs = [("x", "A", "A.this.type", "B", "B.this.type"), ("x", "B", "B.this.type", "A", "A.this.type")]
+    overrides = spark.createDataFrame(pairs, "name string, a_owner string, a_signature string, b_owner string, b_signature string")
     e = spark.createDataFrame([(*entity, 1)], COLUMNS + ", n_symbols long")
     m = spark.createDataFrame([(*mention, resolved, 1)], COLUMNS + ", resolved boolean, n long")
-    assert [r.verdict for r in resolve.compare_symbols(e, m, kin).collect()] == [verdict]
+    assert [r.verdict for r in resolve.compare_symbols(e, m, kin, overrides).collect()] == [verdict]
+
+
+def test_accessors_are_paired_by_field(spark):
+    rows = [("f1", "", "Int", "var"), ("f1", "getter", "=> Int", "method"), ("f1", "setter", "(x: Int)Unit", "method"), ("f2", "", "Int", "var"), ("f3", "", "Int", "val"), (None, "", "Int", "method")]
+    got = resolve.with_accessors(spark.createDataFrame(rows, "field_id string, accessor string, signature string, kind string"))
+    assert {(r.field_id, r.getter, r.setter) for r in got.collect()} == {("f1", "=> Int", "(x: Int)Unit"), ("f2", "Int", SET), ("f3", "Int", None), (None, None, None)}
+
+
+def references(spark, symbols, asked, occ, refs):
+    known = spark.createDataFrame([(i, *s) for i, s in symbols.items()], "symbol_id string, " + COLUMNS)
+    entities = known.filter(F.col("symbol_id").isin(*asked)).withColumnRenamed("symbol_id", "entity")
+    owners = spark.createDataFrame([("A", "A"), ("ObjectA", "ObjectA"), ("B", "B")], "a string, b string")
+    occ = spark.createDataFrame(occ, "project string, path string, word string, offset long")
+    refs = spark.createDataFrame(refs, "project string, path string, offset long, symbol_id string")
+    return sorted((r.entity, r.path, r.offset, r.confidence) for r in resolve.find_references(entities, occ, refs, known, owners).collect())
+
+
+def test_references_of_apply(spark):
+    symbols = {"a": symbol("apply", "ObjectA"), "o": symbol("apply", "B")}
+    occ = [("p", "A", "apply", 9), ("p", "B", "ObjectA", 3), ("p", "B", "ObjectA", 30), ("p", "B", "apply", 38), ("q", "C", "apply", 1), ("q", "C", "other", 7)]
+    refs = [("p", "A", 9, "a"), ("p", "B", 3, "a"), ("p", "B", 38, "a"), ("q", "C", 1, "o")]
+    # the name before .apply stands for the object itself: not resolved here, so it is told as uncertain
+    assert references(spark, symbols, ["a"], occ, refs) == [("a", "A", 9, "Certain"), ("a", "B", 3, "Certain"), ("a", "B", 30, "Uncertain"), ("a", "B", 38, "Certain")]
+
+
+def test_references_of_a_variable_by_its_setter(spark):
+    symbols = {"v": symbol("variable", **VAR), "s": symbol(**{**SETTER, "name": "variable_="}), "l": symbol("variable", "B", kind="val", getter="Int")}
+    occ = [("p", "A", "variable", 4), ("p", "B", "variable_=", 8), ("q", "C", "variable", 2), ("q", "C", "variable", 20)]
+    refs = [("p", "A", 4, "v"), ("p", "B", 8, "s"), ("q", "C", 2, "l")]
+    hits = [("A", 4, "Certain"), ("B", 8, "Certain"), ("C", 20, "Uncertain")]
+    assert references(spark, symbols, ["v", "l"], occ, refs) == [("l", "C", 2, "Certain"), ("l", "C", 20, "Uncertain"), *(("v", *h) for h in hits)]
+
+
+def test_an_untyped_mention_is_uncertain(spark):
+    occ = [("p", "A", "foo", 4), ("p", "A", "foo", 28), ("p", "A", "foo ", 40)]
+    assert references(spark, {"f": symbol("foo")}, ["f"], occ, [("p", "A", 4, "f")]) == [("f", "A", 4, "Certain"), ("f", "A", 28, "Uncertain")]
 
 
 def test_anonymous_innermost_gives_none(spark):

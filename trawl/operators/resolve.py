@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.functions.names import canonical_name
+from trawl.functions.names import alternative_names, canonical_name
 
 SEARCHABLE = ("val", "var", "method")
 #: What tells two symbols apart for the comparison; symbols alike in all of it are one class.
-CLASS = ("name", "owner", "signature", "kind", "accessor", "is_local")
+#: getter and setter are the signatures of the two accessors of a value, null where there is none.
+CLASS = ("name", "owner", "signature", "kind", "accessor", "is_local", "getter", "setter")
+#: Parts that mentions of one word are dealt to, so that a very frequent word is no single key.
+SALT = 16
 
 
 def searchable_entities(symbols: DataFrame) -> DataFrame:
@@ -25,32 +28,95 @@ def mention_classes(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy(*CLASS, "resolved").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
-def compare_symbols(entities: DataFrame, mentions: DataFrame, kinship: DataFrame) -> DataFrame:
+def with_accessors(symbols: DataFrame) -> DataFrame:
+    """symbols(..., field_id) with getter and setter: the signatures of the getter and setter of the same field, or, where
+    the table holds none, what a field of that signature has. Symbols without a field have neither."""
+    of = lambda kind: F.max(F.when(F.col("accessor") == kind, F.col("signature")))
+    field = F.max(F.when(F.col("accessor") == "", F.struct("signature", "kind")))
+    known = symbols.filter("field_id is not null").groupBy("field_id").agg(of("getter").alias("g"), of("setter").alias("s"), field.alias("f"))
+    made = F.when(F.col("f.kind") == "var", F.concat(F.lit("("), F.col("f.signature"), F.lit(")Unit")))
+    pairs = known.select("field_id", F.coalesce("g", "f.signature").alias("getter"), F.coalesce("s", made).alias("setter"))
+    return symbols.join(pairs, "field_id", "left")
+
+
+def _judged(both: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    """both(e_*, m_*, base, kin) with `same`: whether two resolved symbols of one base name are the same.
+
+    Of a value getters are compared with getters, and with a method its setter if the method's name is a setter's, else
+    its getter. Two symbols are the same if they are identical, or of one name, of kin owners, and of equal signature or
+    one overriding the other.
+    """
+    of = lambda p, c: F.col(f"{p}_{c}")
+    value = {p: of(p, "kind").isin("val", "var") | (of(p, "accessor") != "") for p in "em"}
+    method = {p: of(p, "kind") == "method" for p in "em"}
+    sets = {p: of(p, "name").endswith("_=") for p in "em"}
+    side = F.when(value["e"] & value["m"], "getter").when(value["e"], F.when(sets["m"], "setter").otherwise("getter"))
+    side = side.when(value["m"] & method["e"], F.when(sets["e"], "setter").otherwise("getter")).otherwise("own")
+    rows = both.withColumn("side", side)
+    through = {p: value[p] & (F.col("side") != "own") for p in "em"}
+    name = {p: F.when(through[p], F.when(F.col("side") == "setter", F.concat("base", F.lit("_="))).otherwise(F.col("base"))).otherwise(F.trim(of(p, "name"))) for p in "em"}
+    told = {p: F.when(through[p], F.when(F.col("side") == "setter", of(p, "setter")).otherwise(of(p, "getter"))).otherwise(of(p, "signature")) for p in "em"}
+    rows = rows.select("*", *(name[p].alias(f"{p}_told") for p in "em"), *(told[p].alias(f"{p}_type") for p in "em"))
+    over = F.lit(False)
+    if overrides is not None:
+        edges = overrides.select(
+            F.col("name").alias("e_told"), F.col("a_owner").alias("e_owner"), F.col("a_signature").alias("e_type"), F.col("b_owner").alias("m_owner"), F.col("b_signature").alias("m_type"), F.lit(True).alias("over")
+        ).distinct()
+        rows = rows.join(edges, ["e_told", "e_owner", "e_type", "m_owner", "m_type"], "left")
+        over = F.coalesce("over", F.lit(False)) & (F.col("e_owner") != F.col("m_owner"))
+    identical = F.lit(True)
+    for c in CLASS:
+        identical = identical & of("e", c).eqNullSafe(of("m", c))
+    comparable = F.when(value["e"] | method["e"], value["m"] | method["m"]).otherwise(True)
+    alike = (F.col("e_told") == F.col("m_told")) & F.coalesce("kin", F.lit(False)) & (F.coalesce(F.col("e_type") == F.col("m_type"), F.lit(False)) | over)
+    local = F.coalesce(of("e", "is_local") | of("m", "is_local"), F.lit(False))
+    return rows.withColumn("same", identical | (~local & comparable & alike))
+
+
+def _sides(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    e = entities.select(*(F.col(c).alias(f"e_{c}") for c in CLASS), canonical_name(F.col("name")).alias("base"), "n_symbols")
+    return e, mentions.select(*(F.col(c).alias(f"m_{c}") for c in CLASS), canonical_name(F.col("name")).alias("base"), "resolved", "n")
+
+
+def compare_symbols(entities: DataFrame, mentions: DataFrame, kinship: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Verdicts Same, NotSame and PossiblySame for each pair of an entity class and a mention class of one base name.
 
     Inputs are classes (see above), so the join is bounded by classes and never by mentions. kinship(a, b) holds pairs of
-    related owners in either direction, each with itself. A mention that is not resolved is possibly the same; symbols
-    that cannot be compared are not.
+    related owners in either direction, each with itself; overrides(name, a_owner, a_signature, b_owner, b_signature)
+    holds members that override each other, in either direction. A mention that is not resolved is possibly the same;
+    symbols that cannot be compared are not.
     """
-    e = entities.select(*(F.col(c).alias(f"e_{c}") for c in CLASS), canonical_name(F.col("name")).alias("base"), "n_symbols")
-    m = mentions.select(*(F.col(c).alias(f"m_{c}") for c in CLASS), canonical_name(F.col("name")).alias("base"), "resolved", "n")
+    e, m = _sides(entities, mentions)
     kin = kinship.select(F.col("a").alias("e_owner"), F.col("b").alias("m_owner"), F.lit(True).alias("kin"))
-    both = e.join(m, "base").join(kin, ["e_owner", "m_owner"], "left")
-    equal = lambda c: F.col(f"e_{c}").eqNullSafe(F.col(f"m_{c}"))
-    identical = equal("name") & equal("owner") & equal("signature") & equal("kind") & equal("accessor")
-    local = F.col("e_is_local") | F.col("m_is_local")
-    value = F.col("e_kind").isin("val", "var")
-    other_value, other_method = F.col("m_kind").isin("val", "var"), F.col("m_kind") == "method"
-    method = F.col("e_kind") == "method"
-    comparable = F.when(value | method, other_value | other_method).otherwise(True)
-    same = identical | (F.coalesce("kin", F.lit(False)) & equal("signature"))
-    verdict = (
-        F.when(~F.col("resolved"), "PossiblySame")
-        .when(local, F.when(identical, "Same").otherwise("NotSame"))
-        .when(comparable & same, "Same")
-        .otherwise("NotSame")
-    )
-    return both.select(*(f"e_{c}" for c in CLASS), *(f"m_{c}" for c in CLASS), "resolved", "n_symbols", "n", verdict.alias("verdict"))
+    judged = _judged(e.join(m, "base").join(kin, ["e_owner", "m_owner"], "left"), overrides)
+    verdict = F.when(~F.col("resolved"), "PossiblySame").when(F.col("same"), "Same").otherwise("NotSame")
+    return judged.select(*(f"e_{c}" for c in CLASS), *(f"m_{c}" for c in CLASS), "resolved", "n_symbols", "n", verdict.alias("verdict"))
+
+
+def find_references(entities: DataFrame, occ: DataFrame, refs: DataFrame, symbols: DataFrame, kinship: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """entity, project, path, word, offset and confidence of every mention of every entity.
+
+    entities(entity and the columns of CLASS) are asked for; occ(project, path, word, offset) are the stored occurrences;
+    refs(project, path, offset, symbol_id) the places that were resolved; symbols(symbol_id and CLASS) what they are. A
+    mention's word is one of an entity's names; where it is resolved, its symbol must be the same as the entity (Certain),
+    else it is told as Uncertain. Symbols are compared as classes and only with entities of kin owners; mentions meet
+    entities by word, and for a resolved one by its symbol's class too.
+    """
+    asked = entities.withColumn("word", F.explode(alternative_names(F.col("name"), F.col("owner"), F.col("kind")))).select("entity", "word").distinct()
+    met = occ.select("project", "path", "word", "offset").join(asked.select("word").distinct(), "word", "left_semi")
+    known = refs.select("project", "path", "offset", "symbol_id").join(symbols.select("symbol_id", F.xxhash64(*CLASS).alias("class")), "symbol_id")
+    told = met.join(known.select("project", "path", "offset", "class"), ["project", "path", "offset"], "left")
+    e = entities.select("entity", *(F.col(c).alias(f"e_{c}") for c in CLASS), canonical_name(F.col("name")).alias("base"))
+    m = symbols.select(*CLASS).distinct().select(*(F.col(c).alias(f"m_{c}") for c in CLASS), canonical_name(F.col("name")).alias("base"))
+    kin = kinship.select(F.col("a").alias("e_owner"), F.col("b").alias("m_owner"), F.lit(True).alias("kin")).distinct()
+    judged = _judged(e.join(kin, "e_owner").join(m, ["base", "m_owner"]), overrides).filter("same")
+    same = judged.select("entity", F.xxhash64(*(f"m_{c}" for c in CLASS)).alias("class")).distinct().join(asked, "entity")
+    sure = told.filter("class is not null").join(same, ["class", "word"]).withColumn("confidence", F.lit("Certain"))
+    salted = told.filter("class is null").withColumn("salt", F.pmod(F.xxhash64("project", "path", "offset"), F.lit(SALT)))
+    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    unsure = salted.join(spread, ["word", "salt"]).withColumn("confidence", F.lit("Uncertain"))
+    shown = ["entity", "project", "path", "word", "offset", "confidence"]
+    return sure.select(*shown).unionByName(unsure.select(*shown))
 
 
 def with_confidence(compared: DataFrame) -> DataFrame:
@@ -59,9 +125,9 @@ def with_confidence(compared: DataFrame) -> DataFrame:
     return compared.withColumn("confidence", sure).filter("confidence is not null")
 
 
-def occurrences_of_entity(entities: DataFrame, mentions: DataFrame, kinship: DataFrame) -> DataFrame:
-    """Mentions of every entity class by confidence: the classes that share a base name, compared and counted."""
-    hits = with_confidence(compare_symbols(entities, mentions, kinship))
+def occurrences_of_entity(entities: DataFrame, mentions: DataFrame, kinship: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Numbers of mentions of every entity class by confidence; find_references tells the mentions themselves."""
+    hits = with_confidence(compare_symbols(entities, mentions, kinship, overrides))
     return hits.groupBy(*(f"e_{c}" for c in CLASS), "confidence").agg(F.sum("n").cast("long").alias("n"))
 
 

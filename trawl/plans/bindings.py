@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.functions.names import entity_kind
+from trawl.functions.names import alternative_names, entity_kind
 from trawl.operators.extract import extract_occurrences
 from trawl.sources.tables import table
 
@@ -61,15 +61,42 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(t == 7, F.concat(base, F.lit("_="))).when(t == 10, "apply").when(t == 8, F.concat(base, F.lit(" "))).otherwise(base)
     owner = F.replace("p_brand", F.lit("#"), F.lit(""))
     tail = F.when(t == 4, ".type").when(t == 5, "[core.Elem.type]").when(t == 2, "[a.B]").otherwise("")
+    setter, getter = (t == 7) & (F.col("p_size") >= 31), (t == 6) & (F.col("p_size") >= 40)
+    taken = F.concat(F.lit("("), F.col("p_type"), F.lit(")Unit"))
     return table(spark, d, "part").select(
         F.col("p_partkey").alias("symbol_id"),
         name.alias("name"),
         owner.alias("owner"),
-        F.col("p_type").alias("signature"),
+        F.when(t == 7, taken).otherwise(F.col("p_type")).alias("signature"),
         entity_kind(lambda k: is_[k]).alias("kind"),
-        F.when(t == 7, "setter").when((t == 6) & (F.col("p_size") >= 40), "getter").otherwise("").alias("accessor"),
+        F.when(setter, "setter").when(getter, "getter").otherwise("").alias("accessor"),
         ((t == 9) & (F.col("p_size") >= 33)).alias("is_local"),
         F.concat(F.lit("lib."), owner, F.lit("."), base, tail).alias("qualified_name"),
+        F.when(t.isin(8, 9) | setter | getter, F.col("p_type")).alias("getter"),
+        F.when((t == 9) | setter, taken).alias("setter"),
+    )
+
+
+def overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Members of a brand and of the brand that it lies under, of one name, override each other where their types end alike."""
+    own = symbols(spark, d).select("name", "owner", "signature", F.regexp_extract("owner", "[0-9]+", 0).cast("long").alias("id"), F.regexp_extract("signature", "[A-Z]+[)A-Za-z]*$", 0).alias("end")).distinct()
+    lower = own.select(F.trim("name").alias("name"), F.col("owner").alias("a_owner"), F.col("signature").alias("a_signature"), F.floor(F.col("id") / 2).alias("id"), "end")
+    pairs = lower.join(own.select(F.trim("name").alias("name"), F.col("owner").alias("b_owner"), F.col("signature").alias("b_signature"), "id", "end"), ["name", "id", "end"]).drop("id", "end")
+    return pairs.unionByName(pairs.select("name", F.col("b_owner").alias("a_owner"), F.col("b_signature").alias("a_signature"), F.col("a_owner").alias("b_owner"), F.col("a_signature").alias("b_signature")))
+
+
+def written_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences from `lineitem`: at each place one of the names of the part's symbol, by the quantity."""
+    forms = alternative_names(F.col("name"), F.col("owner"), F.col("kind"))
+    told = symbols(spark, d).select(F.col("symbol_id").alias("l_partkey"), forms.alias("forms"))
+    lines = table(spark, d, "lineitem").join(told, "l_partkey")
+    return lines.select(
+        F.col("l_suppkey").cast("string").alias("project"),
+        F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("path"),
+        F.element_at("forms", (F.col("l_quantity").cast("int") % F.size("forms") + 1)).alias("word"),
+        (F.col("l_linenumber") * 64).cast("long").alias("offset"),
+        F.col("l_partkey").alias("symbol_id"),
+        (F.col("l_returnflag") != "N").alias("resolved"),
     )
 
 

@@ -43,11 +43,13 @@ _PER_FILE = """SELECT project, path, count(*)::BIGINT AS n_rows, sum("offset")::
 _WIDE = """(SELECT DISTINCT source AS project FROM documents UNION SELECT s_name FROM supplier)"""
 
 _SYMBOLS = """symbols AS (
-  SELECT p_partkey AS symbol_id, replace(p_brand, '#', '') AS owner, p_type AS signature, replace(p_name, ' ', '_') AS base,
+  SELECT p_partkey AS symbol_id, replace(p_brand, '#', '') AS owner, CASE p_size % 12 WHEN 7 THEN '(' || p_type || ')Unit' ELSE p_type END AS signature, replace(p_name, ' ', '_') AS base,
     CASE p_size % 12 WHEN 7 THEN replace(p_name, ' ', '_') || '_=' WHEN 10 THEN 'apply' WHEN 8 THEN replace(p_name, ' ', '_') || ' ' ELSE replace(p_name, ' ', '_') END AS name,
     CASE p_size % 12 WHEN 0 THEN 'interface' WHEN 1 THEN 'trait' WHEN 2 THEN 'class' WHEN 3 THEN 'abstract class' WHEN 4 THEN 'module' WHEN 5 THEN 'type'
       WHEN 6 THEN 'method' WHEN 7 THEN 'method' WHEN 10 THEN 'method' WHEN 8 THEN 'val' WHEN 9 THEN 'var' ELSE 'unknown' END AS kind,
-    CASE WHEN p_size % 12 = 7 THEN 'setter' WHEN p_size % 12 = 6 AND p_size >= 40 THEN 'getter' ELSE '' END AS accessor,
+    CASE WHEN p_size % 12 IN (8, 9) OR p_size IN (31, 43, 42) THEN p_type END AS getter,
+    CASE WHEN p_size % 12 = 9 OR p_size IN (31, 43) THEN '(' || p_type || ')Unit' END AS setter,
+    CASE WHEN p_size IN (31, 43) THEN 'setter' WHEN p_size % 12 = 6 AND p_size >= 40 THEN 'getter' ELSE '' END AS accessor,
     (p_size % 12 = 9 AND p_size >= 33) AS is_local,
     'lib.' || replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '_') || CASE p_size % 12 WHEN 4 THEN '.type' WHEN 5 THEN '[core.Elem.type]' WHEN 2 THEN '[a.B]' ELSE '' END AS qualified_name
   FROM part)"""
@@ -64,17 +66,30 @@ _COMPARED = (
     + _SYMBOLS
     + """,
 kin AS (SELECT DISTINCT 'Brand' || root AS a, 'Brand' || id AS b FROM up UNION SELECT 'Brand' || id, 'Brand' || root FROM up),
-e AS (SELECT name, owner, signature, kind, accessor, is_local, count(*) AS n_symbols FROM symbols GROUP BY ALL),
-m AS (SELECT name, owner, signature, kind, accessor, is_local, l_returnflag <> 'N' AS resolved, count(*) AS n
-      FROM lineitem JOIN symbols ON l_partkey = symbol_id GROUP BY ALL),
-met AS (SELECT e.name AS e_name, e.owner AS e_owner, e.signature AS e_signature, e.kind AS e_kind, e.accessor AS e_accessor, e.is_local AS e_is_local, m.kind AS m_kind, m.n, m.resolved,
-    (e.name = m.name AND e.owner = m.owner AND e.signature = m.signature AND e.kind = m.kind AND e.accessor = m.accessor) AS identical,
-    (EXISTS (SELECT 1 FROM kin WHERE kin.a = e.owner AND kin.b = m.owner) AND e.signature = m.signature) AS related,
-    (e.is_local OR m.is_local) AS local,
-    (e.kind NOT IN ('val', 'var', 'method') OR m.kind IN ('val', 'var', 'method')) AS comparable
-  FROM e JOIN m ON regexp_replace(trim(e.name), '_=$', '') = regexp_replace(trim(m.name), '_=$', '')),
-compared AS (SELECT *, CASE WHEN NOT resolved THEN 'PossiblySame' WHEN local THEN CASE WHEN identical THEN 'Same' ELSE 'NotSame' END
-    WHEN comparable AND (identical OR related) THEN 'Same' ELSE 'NotSame' END AS verdict FROM met),
+classes AS (SELECT *, regexp_replace(trim(name), '_=$', '') AS canon, kind IN ('val', 'var') OR accessor <> '' AS is_value, ends_with(name, '_=') AS sets
+  FROM (SELECT DISTINCT name, owner, signature, kind, accessor, is_local, getter, setter FROM symbols)),
+ends AS (SELECT DISTINCT trim(name) AS name, owner, signature, regexp_extract(owner, '[0-9]+')::BIGINT AS id, regexp_extract(signature, '[A-Z]+[)A-Za-z]*$') AS tail FROM symbols),
+down AS (SELECT a.name, a.owner AS ao, a.signature AS asig, b.owner AS bo, b.signature AS bsig FROM ends a JOIN ends b ON a.name = b.name AND a.id // 2 = b.id AND a.tail = b.tail),
+over AS (SELECT * FROM down UNION SELECT name, bo, bsig, ao, asig FROM down),
+-- survey 2.4.1, rules 3 to 5: which names and signatures are held against each other
+paired AS (SELECT e, m, CASE
+    WHEN e.is_value AND m.is_value THEN [e.canon, e.getter, m.canon, m.getter]
+    WHEN e.is_value AND m.kind = 'method' AND m.sets THEN [e.canon || '_=', e.setter, m.name, m.signature]
+    WHEN e.is_value AND m.kind = 'method' THEN [e.canon, e.getter, m.name, m.signature]
+    WHEN e.is_value THEN NULL
+    WHEN e.kind = 'method' AND m.is_value AND e.sets THEN [e.name, e.signature, m.canon || '_=', m.setter]
+    WHEN e.kind = 'method' AND m.is_value THEN [e.name, e.signature, m.canon, m.getter]
+    WHEN e.kind = 'method' AND m.kind <> 'method' THEN NULL
+    ELSE [trim(e.name), e.signature, trim(m.name), m.signature] END AS p FROM classes e JOIN classes m USING (canon)),
+-- rules 2 and 6
+same AS (SELECT DISTINCT e, m FROM paired WHERE e = m OR NOT e.is_local AND NOT m.is_local AND p[1] = p[3]
+  AND EXISTS (SELECT 1 FROM kin WHERE kin.a = e.owner AND kin.b = m.owner)
+  AND (p[2] = p[4] OR e.owner <> m.owner AND EXISTS (SELECT 1 FROM over o WHERE o.name = p[1] AND o.ao = e.owner AND o.asig = p[2] AND o.bo = m.owner AND o.bsig = p[4]))),
+mentioned AS (SELECT c, l_returnflag <> 'N' AS resolved, count(*) AS n FROM lineitem JOIN symbols s ON l_partkey = symbol_id
+  JOIN classes c ON c.name = s.name AND c.owner = s.owner AND c.signature = s.signature AND c.kind = s.kind AND c.accessor = s.accessor AND c.is_local = s.is_local GROUP BY ALL),
+compared AS (SELECT q.name AS e_name, q.owner AS e_owner, q.signature AS e_signature, q.kind AS e_kind, q.accessor AS e_accessor, q.is_local AS e_is_local, x.c.kind AS m_kind, n,
+    CASE WHEN NOT resolved THEN 'PossiblySame' WHEN EXISTS (SELECT 1 FROM same s WHERE s.e = q AND s.m = x.c) THEN 'Same' ELSE 'NotSame' END AS verdict
+  FROM classes q JOIN mentioned x ON q.canon = x.c.canon),
 sure AS (SELECT *, CASE verdict WHEN 'Same' THEN 'Certain' ELSE 'Uncertain' END AS confidence FROM compared WHERE verdict <> 'NotSame')
 """
 )
@@ -188,6 +203,15 @@ ORACLES: dict[str, str] = {
     "declaration_location": f"""WITH {_SYMBOLS} SELECT symbol_id, CASE WHEN kind <> 'unknown' THEN owner END AS path, CASE WHEN kind <> 'unknown' THEN symbol_id END AS "offset" FROM symbols""",
     "compare_symbols": _COMPARED + "SELECT e_name, e_owner, e_signature, e_kind, e_accessor, e_is_local, verdict, count(*)::BIGINT AS n_classes, sum(n)::BIGINT AS n_mentions FROM compared GROUP BY ALL",
     "occurrences_of_entity": _COMPARED + "SELECT e_name, e_owner, e_signature, e_kind, e_accessor, e_is_local, confidence, sum(n)::BIGINT AS n FROM sure GROUP BY ALL",
+    "find_references": _COMPARED.rstrip()
+    + f""", forms AS (SELECT *, CASE WHEN kind IN ('val', 'var') THEN [{_CANON.format("name")} || '_=', {_CANON.format("name")}]
+        WHEN {_CANON.format("name")} = 'apply' THEN ['apply', owner] ELSE [{_CANON.format("name")}] END AS names FROM symbols),
+    asked AS (SELECT * FROM forms WHERE symbol_id IN (SELECT min(symbol_id) FROM symbols WHERE kind IN ('val', 'var', 'method') GROUP BY owner)),
+    written AS (SELECT l_suppkey::VARCHAR AS project, l_orderkey || '/' || l_partkey AS path, names[l_quantity::INTEGER % len(names) + 1] AS word, (l_linenumber * 64)::BIGINT AS "offset", l_returnflag, f.*
+      FROM lineitem JOIN forms f ON l_partkey = symbol_id)
+    SELECT a.symbol_id AS entity, project, path, word, "offset", CASE l_returnflag WHEN 'N' THEN 'Uncertain' ELSE 'Certain' END AS confidence FROM asked a JOIN written w ON list_contains(a.names, w.word)
+    WHERE l_returnflag = 'N' OR EXISTS (SELECT 1 FROM same s WHERE s.e.name = a.name AND s.e.owner = a.owner AND s.e.signature = a.signature AND s.e.kind = a.kind AND s.e.accessor = a.accessor AND s.e.is_local = a.is_local
+      AND s.m.name = w.name AND s.m.owner = w.owner AND s.m.signature = w.signature AND s.m.kind = w.kind AND s.m.accessor = w.accessor AND s.m.is_local = w.is_local)""",
     "with_confidence": _COMPARED + "SELECT e_kind, m_kind, confidence, sum(n)::BIGINT AS n_mentions FROM sure GROUP BY ALL",
     "search_summary": _COMPARED
     + """SELECT e_owner, coalesce(sum(n) FILTER (confidence = 'Certain'), 0)::BIGINT AS n_certain, coalesce(sum(n) FILTER (confidence = 'Uncertain'), 0)::BIGINT AS n_uncertain, sum(n)::BIGINT AS n_all FROM sure GROUP BY ALL""",

@@ -241,7 +241,7 @@ def _kinship(spark, d):
 
 
 def _classes(spark, d):
-    return resolve.symbol_classes(b.symbols(spark, d)), resolve.mention_classes(b.mentions(spark, d)), _kinship(spark, d)
+    return resolve.symbol_classes(b.symbols(spark, d)), resolve.mention_classes(b.mentions(spark, d)), _kinship(spark, d), b.overrides(spark, d)
 
 
 @query
@@ -252,7 +252,16 @@ def compare_symbols(spark, d):
 
 @query
 def occurrences_of_entity(spark, d):
-    return resolve.occurrences_of_entity(*_classes(spark, d))
+    return resolve.occurrences_of_entity(*_classes(spark, d)).drop("e_getter", "e_setter")
+
+
+@query
+def find_references(spark, d):
+    """Of the first searchable entity of each owner."""
+    first = resolve.searchable_entities(b.symbols(spark, d)).groupBy("owner").agg(F.min("symbol_id").alias("symbol_id")).drop("owner")
+    asked = b.symbols(spark, d).join(first, "symbol_id").withColumnRenamed("symbol_id", "entity")
+    written = b.written_mentions(spark, d)
+    return resolve.find_references(asked, written, written.filter("resolved"), b.symbols(spark, d), _kinship(spark, d), b.overrides(spark, d))
 
 
 @query
