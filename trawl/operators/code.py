@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.sources.tables import dealt_by_file
+
 NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
 SIGNS = r"[!#%&*+\-/:<=>?@\\^|~]"
 #: Comments, strings (interpolated ones with their prefix), characters, names in backquotes, names, numbers, signs, breaks,
@@ -59,7 +61,7 @@ def tokens(sources: DataFrame) -> DataFrame:
     """project, path, pos, token, offset (code points), line_no and line_start of every token that is not blank or comment."""
     masked = F.replace(F.replace("content", F.lit("\\\\"), F.lit("\x01\x01")), F.lit('\\"'), F.lit("\x01\x01"))
     masked = F.replace(masked, F.lit("\\'"), F.lit("\x01\x01"))
-    dealt = sources.filter("content is not null").repartition(*FILE).select(*FILE, masked.alias("content"))
+    dealt = dealt_by_file(sources.filter("content is not null")).select(*FILE, masked.alias("content"))
     cut = dealt.select(*FILE, F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     breaks = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
     last = F.length("token") - F.length(F.substring_index("token", "\n", -1))

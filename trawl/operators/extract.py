@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.operators.code import code_occurrences
+from trawl.sources.tables import dealt_by_file
 
 #: Words and gaps alternate and together cover every character.
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
@@ -16,7 +17,7 @@ KEY = ("project", "path", "word", "offset", "kind", "is_super")
 def _pieces(sources: DataFrame) -> DataFrame:
     """Every piece with its offset. Texts are dealt by file before they are taken apart, so only they are shuffled;
     the window over a file is as large as that file."""
-    dealt = sources.filter("content is not null").repartition("project", "path")
+    dealt = dealt_by_file(sources.filter("content is not null"))
     cut = dealt.select("project", "path", F.posexplode(F.regexp_extract_all("content", F.lit(PIECE), F.lit(0))).alias("pos", "piece"))
     before = Window.partitionBy("project", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return cut.withColumn("offset", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("long"))
@@ -52,7 +53,7 @@ def extract_occurrences(sources: DataFrame, declares: tuple[str, ...] = ("the",)
 
 def line_table(sources: DataFrame) -> DataFrame:
     """project, path, line_no, line_start, line: joined to hits when they are shown, never carried by every word."""
-    cut = sources.repartition("project", "path").select("project", "path", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    cut = dealt_by_file(sources).select("project", "path", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
     before = Window.partitionBy("project", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")
     return cut.select("project", "path", (F.col("pos") + 1).cast("long").alias("line_no"), start.alias("line_start"), "line")

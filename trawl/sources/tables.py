@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_by_file(sources: DataFrame) -> DataFrame:
+    """Files dealt to as many tasks as a shuffle has here. The number is given so that it stays: texts are small next to
+    what is made of them, and adaptive execution would join their partitions by the size of the texts."""
+    return sources.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "project", "path")
+
+
 def scan_sources(spark: SparkSession, root: str, project: str, extension: str = "scala") -> DataFrame:
     """Files under root with the extension, a row each: project, path, content."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(root)
