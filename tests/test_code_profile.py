@@ -1,8 +1,10 @@
 """The code profile of extraction: the fixtures of FIXTURES.md section 2, and further cases of its rules."""
 
+import re
+
 import pytest
 
-from trawl.operators import extract
+from trawl.operators import extract, resolve
 
 CASES = {
     "x-methods": ("""
@@ -147,3 +149,38 @@ def test_a_file_is_dealt_once(spark):
     src = spark.createDataFrame([("p", "a", "class A")], "project string, path string, content string")
     plan = extract.extract_occurrences(src, profile="scala")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2  # the texts, once for each cut
+
+
+SUBTYPES = {
+    "g-sub": ("trait Foo\nclass Bar extends Foo", ["Bar"]),
+    "g-sub-self": ("trait Foo\ntrait Bar { this: Foo => }", []),
+    "g-sub-arg": ("trait Bar[T]\ntrait Foo extends Bar[Foo]", []),
+    "g-sub-nested": ("trait Foo[T]\ntrait Bar extends Foo[Foo[String]]", ["Bar"]),
+    "g-sub-collide": ("trait Foo\ntrait B extends Foo\nobject B extends Foo\ntrait C extends B", ["B", "B.type"]),
+    "g-sub-twice": ("trait Foo\nclass B extends Foo with Foo", ["B"]),
+    "r-anon": ("object O {\n val x = new Foo with Foo {}\n}", []),
+    "untyped": ("trait B extends Foo(?)", ["B"]),
+}
+
+
+def test_subtypes(spark):
+    src = spark.createDataFrame([(case, "f", text) for case, (text, _) in SUBTYPES.items()], "project string, path string, content string")
+    occ = extract.extract_occurrences(src, profile="scala").persist()
+    columns = "symbol_id string, name string, owner string, signature string, kind string, accessor string, is_local boolean, getter string, setter string, qualified_name string"
+    symbols = spark.createDataFrame([("Foo", "Foo", "lib", "", "trait", "", False, None, None, "lib.Foo")], columns)
+    refs = occ.filter("word = 'Foo' and project <> 'untyped'").selectExpr("project", "path", "offset", "'Foo' symbol_id")
+    spans = []
+    for case, (text, _) in SUBTYPES.items():
+        at = 0
+        for line in text.split("\n"):
+            name = re.search(r"(class|trait|object) (\w+)", line)
+            if name or "new" in line:
+                shown = (name[2] + (".type" if name[1] == "object" else "")) if name else "anon"
+                spans.append((case, "f", at, at + len(line) + 1, f"{case}/{at}", name is None, "lib.Foo" if shown == "Foo" else f"{case}:{shown}"))
+            at += len(line) + 1
+    spans = spark.createDataFrame(spans, "project string, path string, start long, end long, symbol_id string, is_anonymous boolean, qualified_name string")
+    kin = spark.createDataFrame([("lib", "lib")], "a string, b string")
+    got = resolve.find_subtypes(symbols.withColumnRenamed("symbol_id", "entity"), occ, refs, symbols, kin, spans, spans).collect()
+    found = {case: sorted(r.qualified_name.split(":")[1] for r in got if r.qualified_name.startswith(case + ":")) for case in SUBTYPES}
+    assert found == {case: want for case, (_, want) in SUBTYPES.items()}
+    assert all((r.confidence == "Uncertain") == r.qualified_name.startswith("untyped:") for r in got)

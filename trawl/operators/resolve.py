@@ -93,16 +93,17 @@ def compare_symbols(entities: DataFrame, mentions: DataFrame, kinship: DataFrame
     return judged.select(*(f"e_{c}" for c in CLASS), *(f"m_{c}" for c in CLASS), "resolved", "n_symbols", "n", verdict.alias("verdict"))
 
 
-def find_references(entities: DataFrame, occ: DataFrame, refs: DataFrame, symbols: DataFrame, kinship: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def find_references(entities: DataFrame, occ: DataFrame, refs: DataFrame, symbols: DataFrame, kinship: DataFrame, overrides: DataFrame | None = None, *, by_own_name: bool = False) -> DataFrame:
     """entity, project, path, word, offset and confidence of every mention of every entity.
 
     entities(entity and the columns of CLASS) are asked for; occ(project, path, word, offset) are the stored occurrences;
     refs(project, path, offset, symbol_id) the places that were resolved; symbols(symbol_id and CLASS) what they are. A
     mention's word is one of an entity's names; where it is resolved, its symbol must be the same as the entity (Certain),
     else it is told as Uncertain. Symbols are compared as classes and only with entities of kin owners; mentions meet
-    entities by word, and for a resolved one by its symbol's class too.
+    entities by word, and for a resolved one by its symbol's class too. by_own_name leaves the other names out.
     """
-    asked = entities.withColumn("word", F.explode(alternative_names(F.col("name"), F.col("owner"), F.col("kind")))).select("entity", "word").distinct()
+    forms = F.array(canonical_name(F.col("name"))) if by_own_name else alternative_names(F.col("name"), F.col("owner"), F.col("kind"))
+    asked = entities.withColumn("word", F.explode(forms)).select("entity", "word").distinct()
     met = occ.select("project", "path", "word", "offset").join(asked.select("word").distinct(), "word", "left_semi")
     known = refs.select("project", "path", "offset", "symbol_id").join(symbols.select("symbol_id", F.xxhash64(*CLASS).alias("class")), "symbol_id")
     told = met.join(known.select("project", "path", "offset", "class"), ["project", "path", "offset"], "left")
@@ -173,6 +174,22 @@ def declaration_location(entities: DataFrame, declarations: DataFrame) -> DataFr
     return entities.select("symbol_id").join(declarations.select("symbol_id", "path", "offset"), "symbol_id", "left")
 
 
+def find_subtypes(types: DataFrame, occ: DataFrame, refs: DataFrame, symbols: DataFrame, kinship: DataFrame, spans: DataFrame, declared: DataFrame) -> DataFrame:
+    """root, qualified_name, confidence, path and offset of the types that extend each of types(entity, qualified_name
+    and the columns of CLASS), each name once for a root.
+
+    Mentions of a type's own name in a super position are judged as references are; what encloses those that remain is
+    the subtype, none if that is anonymous, or the type itself. spans are as in enclosing_declaration, of which only
+    those of files with a hit are swept; declared(symbol_id, qualified_name) names what they declare.
+    """
+    hits = find_references(types, occ.filter("is_super"), refs, symbols, kinship, by_own_name=True)
+    places = hits.select(*FILE, "offset").distinct().withColumn("loc_id", F.lit(""))
+    around = enclosing_declaration(places, spans.join(places.select(*FILE).distinct(), list(FILE), "left_semi"))
+    named = around.join(declared.select("symbol_id", F.col("qualified_name").alias("found")), "symbol_id").select(*FILE, "offset", "found")
+    found = hits.join(named, [*FILE, "offset"]).join(types.select("entity", F.col("qualified_name").alias("root")), "entity")
+    return direct_subtypes(found.select("root", F.col("found").alias("qualified_name"), "confidence", "path", "offset"))
+
+
 def direct_subtypes(hits: DataFrame) -> DataFrame:
     """Of hits(root, qualified_name, confidence, path, offset) those of other names, each name once."""
     from trawl.operators.results import first_per_qualified_name

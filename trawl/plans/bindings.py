@@ -36,6 +36,36 @@ def code_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return extract_occurrences(code_sources(spark, d), profile="scala")
 
 
+def code_types(occ: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols of the types in super positions, each with a homonym in another library, and where mentions are resolved:
+    in every third line to the homonym, else in every second line to the type."""
+    words = occ.filter("is_super").select("word").distinct()
+    told = words.withColumn("owner", F.explode(F.array(F.lit("lib"), F.lit("elsewhere"))))
+    none = F.lit(None).cast("string")
+    symbols = told.select(
+        F.concat_ws(".", "owner", "word").alias("symbol_id"), F.col("word").alias("name"), "owner", F.lit("").alias("signature"), F.lit("class").alias("kind"),
+        F.lit("").alias("accessor"), F.lit(False).alias("is_local"), none.alias("getter"), none.alias("setter"), F.concat_ws(".", "owner", "word").alias("qualified_name"),
+    )
+    owner = F.when(F.col("line_no") % 3 == 0, "elsewhere").when(F.col("line_no") % 2 == 0, "lib")
+    refs = occ.filter("is_super").select("project", "path", "offset", F.concat(owner, F.lit("."), "word").alias("symbol_id")).filter("symbol_id is not null")
+    return symbols, refs
+
+
+def code_spans(lines: DataFrame) -> DataFrame:
+    """The line of each class, object and anonymous class as its span, with the qualified name of what it declares."""
+    turn = (F.col("line_no") - 1) % len(CODE)
+    own = lines.filter(turn.isin(0, 2, 4))
+    return own.select(
+        "project",
+        "path",
+        F.col("line_start").alias("start"),
+        (F.col("line_start") + F.length("line")).alias("end"),
+        F.concat_ws("/", "project", "path", F.col("line_no").cast("string")).alias("symbol_id"),
+        (turn == 2).alias("is_anonymous"),
+        F.concat_ws(".", "project", F.regexp_extract("line", "w_[a-z]*", 0)).alias("qualified_name"),
+    )
+
+
 def occurrences(spark: SparkSession, d: str) -> DataFrame:
     return extract_occurrences(sources(spark, d))
 

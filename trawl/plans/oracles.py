@@ -144,13 +144,18 @@ def _code(select: str) -> str:
 named AS (SELECT project, path, n, (n - 1) % {len(CODE)} AS k, 'w_' || regexp_extract(line, '[a-z]+') AS w FROM cut),
 lines AS (SELECT *, coalesce(sum(1 + CASE k {sizes} END) OVER (PARTITION BY project, path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start FROM named),
 told(k, name, chars, times, kind, is_super) AS (VALUES {_code_rows()}),
-occ AS (SELECT project, path, CASE name WHEN '@' THEN w ELSE name END AS word, (line_start + chars + times * length(w))::BIGINT AS "offset", kind, is_super, n::BIGINT AS line_no, line_start FROM lines JOIN told USING (k))
+occ AS (SELECT project, path, CASE name WHEN '@' THEN w ELSE name END AS word, (line_start + chars + times * length(w))::BIGINT AS "offset", kind, is_super, n::BIGINT AS line_no, line_start, k, w FROM lines JOIN told USING (k))
 {select}"""
 
 
 ORACLES: dict[str, str] = {
     "extract_code": _code('SELECT project, path, word, "offset", line_no, line_start FROM occ'),
     "extract_code_kinds": _code('SELECT project, path, word, "offset", kind FROM occ'),
+    "find_subtypes": _code(
+        """SELECT root, qualified_name, f.confidence AS confidence, f.path AS path, f."offset" AS "offset" FROM (SELECT 'lib.' || word AS root, project || '.' || w AS qualified_name,
+        min(struct_pack(confidence := CASE WHEN line_no % 2 = 0 THEN 'Certain' ELSE 'Uncertain' END, path := path, "offset" := "offset")) AS f
+        FROM occ WHERE is_super AND k <> 2 AND line_no % 3 <> 0 GROUP BY ALL)"""
+    ),
     "extract_code_super": _code('SELECT project, path, word, "offset" FROM occ WHERE is_super'),
     "extract_words": _occ('SELECT project, path, word, "offset", line_no, line_start FROM occ'),
     "extract_kinds": _occ("""SELECT project, path, word, "offset" FROM occ WHERE kind = 'Declaration'"""),

@@ -11,7 +11,7 @@ from trawl.functions import names
 from trawl.operators import extract, graph, maintain, resolve, results, search
 from trawl.plans import bindings as b
 from trawl.plans.oracles import ORACLES
-from trawl.sources.tables import table
+from trawl.sources.tables import cut_lineage, table
 from trawl.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -342,6 +342,16 @@ def direct_subtypes(spark, d):
     return resolve.direct_subtypes(_type_hits(spark, d))
 
 
+@query
+def find_subtypes(spark, d):
+    occ = cut_lineage(search.find(b.code_occurrences(spark, d), is_super=True))  # read for types, for refs and for hits
+    symbols, refs = b.code_types(occ)
+    kin = symbols.select(F.col("owner").alias("a"), F.col("owner").alias("b")).distinct()
+    spans = b.code_spans(extract.line_table(b.code_sources(spark, d)))
+    types = symbols.filter("owner = 'lib'").withColumnRenamed("symbol_id", "entity")
+    return resolve.find_subtypes(types, occ, refs, symbols, kin, spans, spans)
+
+
 @query
 def first_per_qualified_name(spark, d):
     hits = _type_hits(spark, d).select(F.col("p_type").alias("root"), F.col("p_name").alias("qualified_name"), "confidence", "path", "offset")
