@@ -16,6 +16,11 @@ from trawl.llm import decontaminate, packing, pii, quality, shingles
 from trawl.llm.common import shared_checkpoints, table
 
 
+def new_name() -> str:
+    """A column name that no table has."""
+    return f"__{uuid.uuid4().hex}"
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -23,17 +28,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id; of rows of one id, one. Rows of null id stay."""
-    kept = shingles.link_classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    own, number = new_name(), new_name()
+    kept = shingles.link_classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
     turn = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    first = rows.withColumn("__turn", F.row_number().over(turn)).filter("__turn = 1").drop("__turn")
+    rows = docs.join(kept, F.col("doc_id") == F.col(own), "left_semi")
+    first = rows.withColumn(number, F.row_number().over(turn)).filter(F.col(number) == 1).drop(number)
     return first.unionAll(docs.filter("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("leak_id"), "left_anti")
+    own = new_name()
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(leaks, F.col("doc_id") == F.col(own), "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
