@@ -126,5 +126,5 @@ def test_stages_return_the_columns_of_documents(spark):
 
 
 def test_registered_names():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
     assert set(ORACLES) <= set(QUERIES)
