@@ -253,6 +253,9 @@ ORACLES: dict[str, str] = {
     ),
     "rebuild_projects": _occ(_PER_FILE.format("SELECT * FROM occ WHERE project IN (SELECT project FROM scope) OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"), more=_SCOPE),
     "drop_projects": _occ(_PER_FILE.format("SELECT * FROM occ WHERE project NOT IN (SELECT project FROM scope)"), more=_SCOPE),
+    "stored_rebuild": _occ(_PER_FILE.format("SELECT * FROM occ WHERE project IN (SELECT project FROM scope) OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"), more=_SCOPE),
+    "stored_upsert": _occ(_PER_FILE.format("SELECT * FROM occ WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")),
+    "stored_drop": _occ(_PER_FILE.format("SELECT * FROM occ WHERE project NOT IN (SELECT project FROM scope)"), more=_SCOPE),
     "audit_occurrences": _occ("SELECT * FROM audit", more=_AUDIT),
     "projects_to_rebuild": _occ(f"SELECT project FROM {_WIDE} WHERE project NOT IN (SELECT project FROM audit WHERE is_clean)", more=_AUDIT),
     "ingest_records": _occ(

@@ -11,7 +11,8 @@ from trawl.functions import names
 from trawl.operators import extract, graph, maintain, resolve, results, search
 from trawl.plans import bindings as b
 from trawl.plans.oracles import ORACLES
-from trawl.sources.tables import cut_lineage, table
+from trawl.sources import store
+from trawl.sources.tables import cut_lineage, shared_folder, table
 from trawl.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -414,6 +415,33 @@ def drop_projects(spark, d):
     return _per_file(maintain.drop_projects(b.occurrences(spark, d), _scope(spark, d)))
 
 
+def _stored(spark, occ):
+    path = shared_folder(spark, "occurrences")
+    store.append_occurrences(occ, path)
+    return path
+
+
+@query
+def stored_rebuild(spark, d):
+    path = _stored(spark, maintain.delete_file_occurrences(b.occurrences(spark, d), b.labelled_files(spark, d, "quality = 1")))
+    store.rebuild_stored(b.sources(spark, d), _scope(spark, d), path)
+    return _per_file(store.read_occurrences(spark, path))
+
+
+@query
+def stored_upsert(spark, d):
+    path = _stored(spark, maintain.delete_file_occurrences(b.occurrences(spark, d), b.labelled_files(spark, d, "quality = 1")))
+    store.upsert_stored(spark, b.labelled_files(spark, d, "toxic = 1"), path)
+    return _per_file(store.read_occurrences(spark, path))
+
+
+@query
+def stored_drop(spark, d):
+    path = _stored(spark, b.occurrences(spark, d))
+    store.drop_stored(spark, _scope(spark, d), path)
+    return _per_file(store.read_occurrences(spark, path))
+
+
 def _audit(spark, d):
     # rows of toxic files stand twice, so that some projects are not clean
     occ = b.occurrences(spark, d).unionByName(extract.extract_occurrences(b.labelled_files(spark, d, "toxic = 1 and quality = 0")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "trawl-checkpoints"))
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """The name of a new folder that driver and executors share."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder: reads of it survive lost executors."""
     shared_checkpoints(df.sparkSession)
