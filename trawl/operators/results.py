@@ -16,6 +16,14 @@ def group_hits(hits: DataFrame) -> DataFrame:
     return counts.filter("project is not null").select("project", "path", "n_hits")
 
 
+def group_lines(hits: DataFrame) -> DataFrame:
+    """A row per file: its number of hits, and its lines with hits in order, each with the offsets in it. Hits are first
+    gathered by line and then by file, so no row holds more than the hits of one file."""
+    per_line = hits.groupBy("project", "path", "line_no").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    lines = F.sort_array(F.collect_list(F.struct("line_no", "offsets"))).alias("lines")
+    return per_line.groupBy("project", "path").agg(F.sum(F.size("offsets")).cast("long").alias("n_hits"), lines)
+
+
 def search_summary(hits: DataFrame, by: str) -> DataFrame:
     """Certain, uncertain and all matches of each search; hits have confidence and a number n of equal mentions."""
     part = lambda c: F.coalesce(F.sum(F.when(F.col("confidence") == c, F.col("n"))), F.lit(0)).cast("long")

@@ -180,6 +180,8 @@ ORACLES: dict[str, str] = {
     "dedup_occurrences": _occ(_PER_FILE.format("SELECT * FROM occ")),
     "to_hit": _occ("""SELECT project, path, word, "offset", "offset" + length(word) AS "end", line_no FROM occ WHERE word = 'that'"""),
     "group_hits": _occ("""SELECT project, path, count(*)::BIGINT AS n_hits FROM occ WHERE word = 'and' GROUP BY GROUPING SETS ((project, path), (project))"""),
+    "group_lines": _occ("""SELECT project, path, sum(n)::BIGINT AS n_hits, string_agg(line_no || ':' || places, ';' ORDER BY line_no) AS lines
+        FROM (SELECT project, path, line_no, count(*) AS n, string_agg("offset", ',' ORDER BY "offset") AS places FROM occ WHERE word = 'and' GROUP BY ALL) GROUP BY project, path"""),
     "count_label": _occ(
         """SELECT project, path, coalesce(path, project) || ' (' || count(*) || ')' AS label FROM occ WHERE word = 'and' GROUP BY GROUPING SETS ((project, path), (project))"""
     ),

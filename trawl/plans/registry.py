@@ -157,6 +157,13 @@ def group_hits(spark, d):
     return results.group_hits(search.find(b.occurrences(spark, d), word=COMMON))
 
 
+@query
+def group_lines(spark, d):
+    tree = results.group_lines(search.find(b.occurrences(spark, d), word=COMMON))
+    shown = F.transform("lines", lambda n: F.concat(n.line_no.cast("string"), F.lit(":"), F.array_join(n.offsets.cast("array<string>"), ",")))
+    return tree.select("project", "path", "n_hits", F.array_join(shown, ";").alias("lines"))
+
+
 @query
 def count_label(spark, d):
     return results.count_label(results.group_hits(search.find(b.occurrences(spark, d), word=COMMON)))
