@@ -27,11 +27,14 @@ def scan_sources(spark: SparkSession, root: str, project: str, extension: str =
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; a folder of this machine only where none is named."""
+    """Checkpoints go to the folder the cluster names. Where none is named, a local session takes a folder of this machine,
+    and any other fails: its executors would not see that folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "trawl-checkpoints"))
 
 
