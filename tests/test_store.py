@@ -1,7 +1,7 @@
-"""The stored occurrence table: replaced projects, emptied ones, pruning."""
+"""The stored occurrence table: replaced projects, emptied ones, pruning. Source files that are not text."""
 
 from trawl.operators.extract import extract_occurrences
-from trawl.sources import store
+from trawl.sources import store, tables
 
 
 def sources(spark, *rows):
@@ -55,3 +55,14 @@ def test_only_the_projects_asked_for_are_read(spark, tmp_path):
     assert asked._jdf.collectToPython() and "PartitionFilters: [isnotnull(project" in plan.toString() and "EqualTo(word,x)" in plan.toString()
     scan = plan.collectLeaves().apply(0)
     assert scan.metrics().apply("numPartitions").value() == 1
+
+
+def test_files_that_are_not_text(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name, content in (("good.scala", "Übergröße".encode()), ("empty.scala", b""), ("deep/bad.scala", b"val \xff\xfe x"), ("cut.scala", "ü".encode()[:1]), ("bad.txt", b"\xff")):
+        (tmp_path / name).write_bytes(content)
+    broken = tables.unreadable_files(spark, str(tmp_path), "p").collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in broken) == ["bad.scala", "cut.scala"]
+    read = tables.scan_sources(spark, str(tmp_path), "p")
+    assert read.count() == 3  # Spark skips the empty file
+    assert read.filter("path like '%good.scala'").first().content == "Übergröße"

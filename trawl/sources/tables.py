@@ -21,11 +21,19 @@ def dealt_by_file(sources: DataFrame) -> DataFrame:
 
 
 def scan_sources(spark: SparkSession, root: str, project: str, extension: str = "scala") -> DataFrame:
-    """Files under root with the extension, a row each: project, path, content."""
+    """Files under root with the extension, a row each: project, path, content. Spark's file sources skip empty files."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(root)
     return files.select(F.lit(project).alias("project"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def unreadable_files(spark: SparkSession, root: str, project: str, extension: str = "scala") -> DataFrame:
+    """project, path, reason of the files under root whose bytes are not UTF-8: scan_sources reads them with replacement
+    characters, so they are to be set aside before."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(root)
+    broken = files.filter(~F.is_valid_utf8(F.col("content").cast("string")))
+    return broken.select(F.lit(project).alias("project"), "path", F.lit("not UTF-8").alias("reason"))
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Checkpoints go to the folder the cluster names. Where none is named, a local session takes a folder of this machine,
     and any other fails: its executors would not see that folder."""
