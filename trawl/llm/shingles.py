@@ -2,8 +2,13 @@
 
 A document is a row of the incidence matrix: its set of hashed shingles in one global order, rare ones first by a
 counting sketch of the corpus. Pairs that can reach the wanted similarity share a column within the leading part of both
-rows, so only those columns are multiplied, block by block; a pair lives on while its possible overlap, from sizes and
-places, reaches the bound that the sizes ask for. The overlaps of the pairs that are left are then counted whole.
+rows, and at the first column they share their places leave the overlap that the sizes ask for possible.
+
+Columns are multiplied in two steps, so that groups of near copies do not make pairs of all their members. First each
+document of a column meets the column's centres, the two documents that have the least before the column; the overlaps
+of those pairs are counted and join documents to classes. Then only documents of different classes meet, in blocks; a
+pair becomes a row if its places and the parity maps of its two sets, which bound their difference from below, leave the
+overlap possible. The overlaps of those rows are counted whole too.
 """
 
 from __future__ import annotations
@@ -12,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
@@ -28,20 +32,23 @@ PERCENT = 75
 #: Counters of the sketch, a power of two. It only orders shingles; any size gives the same links.
 SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 16
-#: Up to so many documents of one column are multiplied at once; larger columns begin with a star and neighbours.
-COLUMN = 256
-NEAR = 8
+#: About so many documents of one column meet as many others at once in the second step; any number gives the same links.
+COLUMN = 1024
+#: A column's rows that a task holds before it passes them on.
+HELD = 1 << 14
+#: Bits of the parity map of a set, a multiple of 64.
+PARITY_BITS = 512
 #: Bits of the map that spares documents outside all pairs; any size gives the same links.
 SPOT_BITS = 22
 #: Bytes of text shingled at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -118,36 +125,59 @@ def _lead(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-_ROWS = "doc_id long, n_shingles long, print binary, lead binary, edge long"
+_ROWS = "doc_id long, n_shingles long, node long, lead binary, parity array<long>"
+
+
+def node_of(packed: bytes) -> int | None:
+    """The node of a set: 64 bits of its hashes' hash, as wide as the shingles' own."""
+    return int.from_bytes(xxhash.xxh3_128_digest(packed)[:8], "little", signed=True) if packed else None
+
+
+def parity_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit words for each set: bit i tells whether an odd number of its hashes fall on i. Sets that differ in d
+    hashes differ in at most d bits."""
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    cells = np.repeat(np.arange(len(sets)) * PARITY_BITS, lengths) + (flat & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=len(sets) * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), PARITY_BITS), axis=1).view(np.int64)
 
 
 def _rows(rows: DataFrame, levels, bits: int, percent: int) -> DataFrame:
+    """Each row of docs with its node (a hash of its set, null without shingles) and the leading part of its set."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         level = np.frombuffer(zlib.decompress(levels.value), np.uint8)
         for batch in batches:
             for part in slices(batch, "raw", SLICE):
                 sets = shingle_sets(_raws(part), hashes)
-                prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                nodes = [node_of(s.tobytes()) for s in sets]
                 leads = [s[_order(s, level, bits)[: _lead(len(s), percent)]] if len(s) else s for s in sets]
-                edges = [int(level[_place(x[-1:], bits)][0]) << 56 | int(x[-1]) >> 8 if len(x) else 0 for x in leads]
+                words = np.arange(len(sets) + 1, dtype=np.int32) * (PARITY_BITS // 64)
+                maps = pa.ListArray.from_arrays(pa.array(words), pa.array(parity_maps(sets).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in leads], pa.binary()), pa.array(edges, pa.int64())],
-                    ["doc_id", "n_shingles", "print", "lead", "edge"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in leads], pa.binary()), maps],
+                    ["doc_id", "n_shingles", "node", "lead", "parity"],
                 )
 
     return rows.mapInArrow(scan, _ROWS)
 
 
+_COLUMN = "h long, node long, n int, place int"
+
+
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each leading shingle of each set: shingle, document, size and place; of equal sets in a task only one."""
-    seen: set[bytes] = set()
+    """A row for each leading shingle of each set: shingle, node, size and place; of equal sets in a task only one."""
+    seen: set[int] = set()
     for batch in batches:
         for part in slices(batch, "lead", 4 << 20):
             new = []
-            for i, name in enumerate(part.column("print").to_pylist()):
-                if name not in seen:
-                    seen.add(name)
+            for i, node in enumerate(part.column("node").to_pylist()):
+                if node not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(node)
                     new.append(i)
             part = part.take(pa.array(new, pa.int64()))
             leads = [np.frombuffer(x, np.int64) for x in part.column("lead").to_pylist()]
@@ -157,7 +187,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(leads)),
-                        pa.array(np.repeat(part.column("doc_id").to_numpy(), lengths)),
+                        pa.array(np.repeat(part.column("node").to_numpy(), lengths)),
                         pa.array(np.repeat(part.column("n_shingles").to_numpy(), lengths).astype(np.int32)),
                         pa.array(place.astype(np.int32)),
                     ],
@@ -166,89 +196,70 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
-    """Whether two sets that share a column at these places can overlap enough for their sizes."""
-    most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1)
+    """Whether two sets whose first common column stands at these places can overlap enough for their sizes."""
+    most = 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1)
     return (100 + percent) * most >= percent * (n1 + n2)
 
 
-def _pairs_of_columns(percent: int, column: int):
-    """From rows sorted by column: the pairs of each column that can link.
+def _stars(percent: int):
+    """From rows sorted by column, then place: pairs of each document with the column's two centres, and the rows of
+    columns of four documents and more, whose other pairs are for the second step (rows without b).
 
-    Columns of up to `column` documents give all such pairs. Longer ones stream by in constant memory and give those of
-    each document with the column's first one and with the ones just before it in size; what this leaves is told by
-    rows without b, the column's documents, for the next step. A pair's n is the number of columns it shares here.
+    A pair that links passes the bound at its first common column; c is the number of columns where it passes here.
     """
+    names = ["a", "b", "h", "c", "n", "place"]
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        keep = (x[:, 1] != y[:, 1]) & _possible(x[:, 2], x[:, 3], y[:, 2], y[:, 3], percent)
+        ends = np.stack([np.minimum(x[keep, 1], y[keep, 1]), np.maximum(x[keep, 1], y[keep, 1])], 1)
+        ends, times = np.unique(ends, axis=0, return_counts=True)
+        none = lambda t: pa.nulls(len(ends), t)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), none(pa.int64()), pa.array(times.astype(np.int32)), none(pa.int32()), none(pa.int32())], names)
+
+    def others(x: np.ndarray) -> pa.RecordBatch:
+        none = lambda t: pa.nulls(len(x), t)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 1]), none(pa.int64()), pa.array(x[:, 0]), none(pa.int32()), pa.array(x[:, 2].astype(np.int32)), pa.array(x[:, 3].astype(np.int32))], names)
+
+    def multiply(data: np.ndarray, done: int) -> Iterator[pa.RecordBatch]:
+        """Whole columns, or the beginning of one; its first `done` rows were passed on before."""
+        begin = np.concatenate([[True], data[1:, 0] != data[:-1, 0]])
+        starts = np.flatnonzero(begin)
+        lengths = np.diff(np.append(starts, len(data)))
+        at = np.repeat(starts, lengths)
+        rank = np.arange(len(data)) - at
+        fresh = np.arange(len(data)) >= done
+        for centre in (0, 1):
+            x = np.flatnonzero(fresh & (rank > centre))
+            if len(x):
+                yield pairs(data[at[x] + centre], data[x])
+        rest = fresh & (np.repeat(lengths, lengths) > 3)
+        if rest.any():
+            yield others(data[rest])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: np.ndarray | None = None  # of a long column
-        tail: np.ndarray | None = None
-
-        def some(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            keep = (a[:, 1] != b[:, 1]) & _possible(a[:, 2], a[:, 3], b[:, 2], b[:, 3], percent)
-            x, y = a[keep, 1], b[keep, 1]
-            pairs, shared = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.array(shared.astype(np.int32)), pa.nulls(len(pairs), pa.int32())], names)
-
-        names = ["a", "b", "h", "n", "place"]
-
-        def rows(x: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.nulls(len(x), pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 2].astype(np.int32)), pa.array(x[:, 3].astype(np.int32))], names)
-
-        def long(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal first, tail
-            if first is None:
-                first = x[:1]
-            yield rows(x)
-            yield some(np.repeat(first, len(x), 0), x)
-            chain = x if tail is None else np.concatenate([tail, x])
-            for j in range(1, NEAR + 1):
-                if len(chain) > j:
-                    yield some(chain[:-j], chain[j:])
-            tail = chain[-NEAR:]
-
-        def close(group: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal first, tail
-            if first is not None and group[0, 0] != first[0, 0]:
-                first = tail = None
-            if first is not None or len(group) > column:
-                yield from long(group)
-            elif len(group) > 1:
-                i, j = np.triu_indices(len(group), 1)
-                small.append((group[i], group[j]))
-            first = tail = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if small:
-                yield some(np.concatenate([x for x, _ in small]), np.concatenate([y for _, y in small]))
-                small.clear()
-
-        small: list[tuple[np.ndarray, np.ndarray]] = []
-        rest = np.zeros((0, 4), np.int64)
+        held, done = np.zeros((0, 4), np.int64), 0
         for batch in batches:
-            data = np.concatenate([rest, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("h", "node", "n", "place")], axis=1)])
+            data = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("h", "node", "n", "place")], axis=1)
+            data = np.concatenate([held, data])
             if not len(data):
                 continue
-            starts = np.concatenate([[0], np.flatnonzero(data[1:, 0] != data[:-1, 0]) + 1])
-            begins, ends = starts[:-1], starts[1:]
-            more = ends - begins > 1  # columns of one document have no pair
-            more[:1] = True
-            for s, e in zip(begins[more].tolist(), ends[more].tolist(), strict=True):
-                yield from close(data[s:e])
-            rest = data[starts[-1] :]
-            if first is not None and rest[0, 0] != first[0, 0]:
-                first = tail = None
-            if first is not None or len(rest) > column:
-                yield from long(rest)
-                rest = rest[:0]
-            yield from flush()
-        if len(rest):
-            yield from close(rest)
-        yield from flush()
+            same = (data[1:, 0] == data[:-1, 0]) & (data[1:, 1] == data[:-1, 1])  # an equal set of another task
+            data = data[np.concatenate([[True], ~same])]
+            last = int(np.searchsorted(data[:, 0], data[-1, 0]))
+            if last:
+                yield from multiply(data[:last], done)
+                done = 0
+            held = data[last:]
+            if len(held) > HELD:
+                yield from multiply(held, done)
+                held, done = held[:4], 4
+        if len(held):
+            yield from multiply(held, done)
 
     return scan
 
 
-_PAIRS = "a long, b long, h long, n int, place int"
+_PAIRS = "a long, b long, h long, c int, n int, place int"
 
 
 def _overlaps(percent: int):
@@ -257,9 +268,9 @@ def _overlaps(percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            left, right = batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            left, right = batch.column("set_a"), batch.column("set_b")
+            for i in range(batch.num_rows):
+                s, t = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
                 if len(s) > len(t):
                     s, t = t, s
                 common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
@@ -279,20 +290,21 @@ def _sets(spots):
             spot = batch.column("spot").to_numpy()
             batch = batch.filter(pa.array((marked[spot >> 3] >> (spot & 7) & 1).astype(bool)))
             for part in slices(batch, "raw", SLICE):
-                sets = [s.tobytes() for s in shingle_sets(_raws(part), hashes)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["node", "set"])
+                sets = {node_of(x): x for x in (s.tobytes() for s in shingle_sets(_raws(part), hashes)) if x}
+                yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.binary())], ["node", "set"])
 
     return scan
 
 
-def _candidate_sets(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Whole sets of the documents that stand in a pair, made where the texts are read.
+def _candidate_sets(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Whole sets of the nodes that stand in a pair, made where the texts are read.
 
-    A map of hashed ids, of fixed size, spares the other documents; the few that it lets through fall in the join.
+    A map of hashed ids, of fixed size, spares the other documents; what it lets through besides falls in the join.
     """
     spark = rows.sparkSession
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SPOT_BITS))
-    wanted = pairs.select(F.explode(F.array(spot("a"), spot("b"))).alias("spot")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select(spot("doc_id").alias("spot"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.zeros(1 << SPOT_BITS - 3, np.uint8)
@@ -305,41 +317,32 @@ def _candidate_sets(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     for row in wanted.coalesce(16).mapInArrow(mark, "packed binary").collect():  # sixteen maps of fixed size
         marked |= np.frombuffer(zlib.decompress(bytes(row[0])), np.uint8)
     spots = spark.sparkContext.broadcast(zlib.compress(marked.tobytes(), 1))
-    return rows.withColumn("spot", spot(F.col("doc_id"))).filter("doc_id is not null").mapInArrow(_sets(spots), "node long, set binary").persist(StorageLevel.MEMORY_AND_DISK)
+    sets = rows.filter("doc_id is not null").withColumn("spot", spot("doc_id")).mapInArrow(_sets(spots), "node long, set binary")
+    return sets.join(ends, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, long: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose accumulated count of shared leading columns leaves the overlap that their sizes ask for possible.
-
-    All columns up to where the first of the two leading parts ends are counted, so what else is shared lies in the rest
-    of that document. Of two documents that both stand in long columns the count is not whole; such pairs stay.
-    """
-    lead = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), (F.col("n_shingles") - lead).alias(f"rest_{x}"), F.col("edge").alias(f"edge_{x}"))
-    in_long = lambda x: long.select(F.col("node").alias(x), F.lit(True).alias(f"long_{x}"))
-    seen = pairs.join(side("a"), "a").join(side("b"), "b").join(in_long("a"), "a", "left").join(in_long("b"), "b", "left")
-    beyond = F.when(F.col("edge_a") < F.col("edge_b"), F.col("rest_a")).when(F.col("edge_a") > F.col("edge_b"), F.col("rest_b")).otherwise(F.greatest("rest_a", "rest_b"))
-    enough = (F.col("c") + beyond) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-    return seen.filter(enough | (F.coalesce("long_a", F.lit(False)) & F.coalesce("long_b", F.lit(False)))).select("a", "b", "c")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets link."""
+    sets = _candidate_sets(pairs, rows, nodes).persist(StorageLevel.DISK_ONLY)
     with_a = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_overlaps(percent), "a long, b long")
+    links = cut_lineage(both.select("a", "b", "set_a", "set_b").mapInArrow(_overlaps(percent), "a long, b long"))
+    sets.unpersist()
+    return links
 
 
-def _named(rows: DataFrame, moved: DataFrame, column: str) -> DataFrame:
-    """The rows with ids in the column replaced by those of their nodes."""
-    names = moved.select(F.col("doc_id").alias(column), F.col("node").alias("__node"))
-    return rows.join(names, column, "left").withColumn(column, F.coalesce("__node", column)).drop("__node")
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity maps leave the overlap that their sizes ask for possible."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+    bits = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = (F.col("n_a") + F.col("n_b") - bits) / 2  # twice the overlap is the sizes' sum less the difference
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b", "c")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    """For each document the pair with the partner that shares most leading columns."""
+    """For each node the pair with the partner that it meets in most columns."""
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "c").unionAll(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "c"))
-    top = both.groupBy("x").agg(F.max(F.struct(F.col("c"), (-F.col("y")).alias("y"))).alias("top")).select("x", (-F.col("top.y")).alias("y"))
+    top = both.groupBy("x").agg(F.max_by("y", F.struct("c", "y")).alias("y"))
     return top.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -353,9 +356,10 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, *, percent: int = PERCENT, bits: int = SKETCH_BITS, column: int = COLUMN) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
-    Sets of equal shingles are one node, so copies cost nothing. Null texts, empty ones and ones of white space have no
-    shingle, link with nothing and are their own class. Rows of equal doc_id share what any of their texts links to; a
-    row of null doc_id stands for nothing and has its class only through an equal set. Only doc_id and text are read.
+    Sets of equal shingles are one node, named by a hash of the set, so copies cost nothing. Null texts, empty ones and
+    ones of white space have no shingle, link with nothing and are their own class. Rows of equal doc_id share what any
+    of their texts links to; a row of null doc_id stands for nothing and has its class only through an equal set. Very
+    long texts are sets like any other. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -367,63 +371,88 @@ def link_classes(docs: DataFrame, *, percent: int = PERCENT, bits: int = SKETCH_
     often = np.flatnonzero(counts > usual)
     level[often] = 2 * np.log2(counts[often] / usual) + 1
     levels = spark.sparkContext.broadcast(zlib.compress(level.tobytes(), 1))
-    described = _rows(rows, levels, bits, percent).persist(StorageLevel.MEMORY_AND_DISK)
-    known = described.filter("print is not null and doc_id is not null")
-    # equal sets are one node, named by the smallest of their ids; leading parts are never shuffled whole
-    nodes = known.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("edge").alias("edge"))
-    moved = cut_lineage(known.select("doc_id", "print").join(nodes.select("print", "node"), "print").filter("doc_id <> node").select("doc_id", "node").distinct())
-    columns = known.select("doc_id", "n_shingles", "print", "lead").mapInArrow(_columns, "h long, node long, n int, place int")
-    sorted_ = columns.repartition("h").sortWithinPartitions("h", "n", "node")
-    # from here on only pairs and ids are left; written in the shared folder, they keep plans short and lost work small
-    met = cut_lineage(sorted_.mapInArrow(_pairs_of_columns(percent, column), _PAIRS))
-    left = _named(met.filter("b is null").select("h", F.col("a").alias("node"), "n", "place"), moved, "node").distinct()
-    # each pair of documents has its whole count; of pairs with equal sets the largest holds
-    each = met.filter("b is not null").groupBy("a", "b").agg(F.sum("n").alias("c"))
-    both = _named(_named(each, moved, "a"), moved, "b").filter("a <> b")
-    counted = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("c").alias("c"))
-    pairs = cut_lineage(_bounded(counted, nodes.select("node", "n_shingles", "edge"), left.select("node").distinct(), percent))
-    sets = _candidate_sets(pairs, rows)
-    # the likeliest pair of each document joins most classes; of the other pairs only those between classes matter
-    links = cut_lineage(_verified(_best(pairs), sets, percent))
-    links = cut_lineage(links.unionAll(_verified(_apart(pairs, connected(links)), sets, percent)))
+    described = _rows(rows, levels, bits, percent).persist(StorageLevel.DISK_ONLY)
+    known = described.filter("node is not null and doc_id is not null")
+    # the sets of nodes are made from the text of the smallest id; ids that have other texts beside it come by their own
+    nodes = cut_lineage(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity"), F.first("n_shingles").alias("n_shingles")))
+    columns = known.select("node", "n_shingles", "lead").mapInArrow(_columns, _COLUMN)
+    sorted_ = columns.repartition("h").sortWithinPartitions("h", "place", "n", "node")
+    met = cut_lineage(sorted_.mapInArrow(_stars(percent), _PAIRS))
+    # several texts of one id are linked by it
+    several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
+    links = cut_lineage(known.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").filter("a <> b").select("a", "b").distinct())
+    pairs = cut_lineage(_bounded(met.filter("b is not null").groupBy("a", "b").agg(F.sum("c").alias("c")), nodes, percent))
+    # the likeliest pair of each node joins most classes; of the other pairs only those between classes matter
+    links = cut_lineage(links.unionAll(_verified(_best(pairs), rows, nodes, percent)))
     roots = connected(links)
-    rest = _rest(left, roots, pairs, percent)
+    links = links.unionAll(_verified(cut_lineage(_apart(pairs, roots)), rows, nodes, percent))
+    roots = connected(links)
+    rest = _rest(met.filter("b is null").select("h", F.col("a").alias("node"), "n", "place"), roots, nodes, pairs, percent, column)
     if rest is not None:
-        rest = cut_lineage(rest)
-        roots = connected(links.unionAll(_verified(rest, _candidate_sets(rest, rows), percent)))
-    classes = nodes.select("print", "node").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("print", F.coalesce("root", "node").alias("class"))
-    return described.select("doc_id", "n_shingles", "print").join(classes, "print", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
+        roots = connected(links.unionAll(_verified(rest, rows, nodes, percent)))
+    named = nodes.select("node", "doc_id").join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    classes = named.join(named.groupBy("root").agg(F.min("doc_id").alias("class")), "root").select("node", "class")
+    return described.select("doc_id", "n_shingles", "node").join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
+
+
+_MET = ["h", "i", "j", "own", "node", "n", "place", "root"]
 
 
-def _rest(left: DataFrame, roots: DataFrame, done: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs of long columns between different classes that were not yet compared; None if there is none.
+def _blocks(percent: int):
+    """From rows sorted by column and pair of blocks: the pairs of different classes that can still link."""
+
+    def meet(data: np.ndarray, parity: np.ndarray) -> np.ndarray:
+        first, second = np.flatnonzero(data[:, 3] == data[:, 1]), np.flatnonzero(data[:, 3] == data[:, 2])
+        found = []
+        if len(first) and len(second) and data[:, 7].min() < data[:, 7].max():
+            y = data[second]
+            for i in first:
+                x = data[i]
+                keep = (y[:, 7] != x[7]) & _possible(y[:, 5], y[:, 6], x[5], x[6], percent)
+                if x[1] == x[2]:
+                    keep &= y[:, 4] > x[4]
+                at = np.flatnonzero(keep)
+                if len(at):
+                    apart = np.bitwise_count(parity[second[at]] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                    sizes = y[at, 5] + x[5]
+                    at = at[(100 + percent) * (sizes - apart) >= 2 * percent * sizes]
+                    found.append(np.stack([np.minimum(y[at, 4], x[4]), np.maximum(y[at, 4], x[4])], 1))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, parity = np.zeros((0, len(_MET)), np.int64), np.zeros((0, PARITY_BITS // 64), np.int64)
+
+        def passed(groups: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(groups), axis=0) if groups else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in _MET], axis=1)
+            data = np.concatenate([data, new])
+            parity = np.concatenate([parity, batch.column("parity").flatten().to_numpy().reshape(len(new), -1)])
+            if not len(data):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], (data[1:, :3] != data[:-1, :3]).any(axis=1)])).tolist()
+            yield passed([meet(data[s:e], parity[s:e]) for s, e in zip(starts[:-1], starts[1:], strict=True)])
+            data, parity = data[starts[-1] :], parity[starts[-1] :]
+        if len(data):
+            yield passed([meet(data, parity)])
+
+    return scan
+
+
+def _rest(left: DataFrame, roots: DataFrame, nodes: DataFrame, done: DataFrame, percent: int, block: int) -> DataFrame | None:
+    """Pairs between different classes that share a column and were not yet compared; None if there is none.
 
     A column whose documents all are in one class by now has nothing left. The others' documents meet block by block.
     """
-    block = 1024
-    labelled = left.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = cut_lineage(left.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_ = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("h", "m")
-    if open_.isEmpty():
-        return None
     dealt = labelled.join(open_, "h").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(nodes.select("node", "parity"), "node")
     # a document is sent to the blocks that it meets as first or as second
     sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sides = sides.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "place", "root")
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        data = group[["node", "n", "place", "root"]].to_numpy(np.int64)
-        own = group["own"].to_numpy()
-        first, second = data[own == i], data[own == j]
-        found = []
-        for r in first:
-            keep = (second[:, 3] != r[3]) & _possible(second[:, 1], second[:, 2], r[1], r[2], percent)
-            if i == j:
-                keep &= second[:, 0] > r[0]
-            x = second[keep, 0]
-            found.append(np.stack([np.minimum(x, r[0]), np.maximum(x, r[0])], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    met = sides.groupBy("h", "i", "j").applyInPandas(meet, "a long, b long").distinct()
-    return met.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    sides = sides.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "place", "root", "parity")
+    met = sides.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
+    found = cut_lineage(met.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    return None if found.isEmpty() else found
