@@ -46,8 +46,11 @@ def indexed_projects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_occurrences(occ: DataFrame, path: str) -> None:
-    """Adds rows; rows that are appended twice stand twice (see upsert_stored)."""
-    _write(occ.unionByName(_marks(occ, "built")), path, "append")
+    """Adds rows; rows that are appended twice stand twice (see upsert_stored). What is stored tells which projects have
+    words but no mark yet, so the rows are made once; a project is not indexed before that second write."""
+    _write(occ, path, "append")
+    held = _stored(occ.sparkSession, path).groupBy("project").agg(F.max(F.col("word").isNotNull()).alias("has_words"), F.max(F.col("word").isNull() & (F.col("kind") == "built")).alias("is_built"))
+    _write(_marks(held.filter("has_words and not coalesce(is_built, false)"), "built"), path, "append")
 
 
 def rebuild_stored(sources: DataFrame, projects: DataFrame, path: str) -> None:
