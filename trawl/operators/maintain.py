@@ -33,10 +33,19 @@ def drop_projects(occ: DataFrame, projects: DataFrame) -> DataFrame:
 def audit_occurrences(occ: DataFrame, lines: DataFrame) -> DataFrame:
     """Per project: rows, rows with a null or an unknown kind or a negative offset, repeated keys, words not at their
     place in their line, and whether none of that was found."""
-    seen = occ.join(lines.select("project", "path", "line_no", "line"), ["project", "path", "line_no"], "left")
+    # a file's lines are one row, so that words meet them by file, as they are dealt, and are neither shuffled nor sorted
+    per_line = lines.groupBy(*FILE, "line_no").agg(F.collect_list(F.struct("line")).alias("texts"))
+    per_file = per_line.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("line_no", "texts"))).alias("lines"))
+    met = occ.join(per_file.hint("shuffle_hash"), FILE, "left")
+    place = F.get("lines", (F.col("line_no") - F.get("lines", F.lit(0))["line_no"]).cast("int"))
+    other = F.get(F.filter("lines", lambda n: n["line_no"] == F.col("line_no")), F.lit(0))  # where numbers leave some out
+    texts = F.when(place["line_no"] == F.col("line_no"), place["texts"]).otherwise(other["texts"])
+    seen = met.withColumn("texts", texts)
     wrong = F.col("word").isNull() | F.col("offset").isNull() | (F.col("offset") < 0) | ~F.col("kind").isin("Declaration", "Reference")
-    astray = F.substring(F.col("line"), (F.col("offset") - F.col("line_start") + 1).cast("int"), F.length("word")) != F.col("word")
-    per_key = seen.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max(wrong.cast("int")).alias("wrong"), F.max(F.coalesce(astray, F.lit(True)).cast("int")).alias("astray"))
+    misses = lambda line: F.substring(line, (F.col("offset") - F.col("line_start") + 1).cast("int"), F.length("word")) != F.col("word")
+    astray = F.when(F.size("texts") == 1, misses(F.get("texts", F.lit(0))["line"])).otherwise(F.exists("texts", lambda t: misses(t["line"])))
+    times = F.greatest(F.size("texts"), F.lit(1)).cast("long")  # a row counts once for each line of its number
+    per_key = seen.groupBy(*KEY).agg(F.sum(times).alias("n"), F.max(wrong.cast("int")).alias("wrong"), F.max(F.coalesce(astray, F.lit(True)).cast("int")).alias("astray"))
     sums = per_key.groupBy("project").agg(
         F.sum("n").cast("long").alias("n_rows"),
         F.sum(F.col("n") * F.col("wrong")).cast("long").alias("n_wrong"),
