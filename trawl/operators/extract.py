@@ -14,13 +14,64 @@ WORD = r"^[\p{L}\p{N}_]"
 KEY = ("project", "path", "word", "offset", "kind", "is_super")
 
 
-def _pieces(sources: DataFrame) -> DataFrame:
-    """Every piece with its offset. Texts are dealt by file before they are taken apart, so only they are shuffled;
-    the window over a file is as large as that file."""
-    dealt = dealt_by_file(sources.filter("content is not null"))
+#: Stretches of a text: up to 16 words of one line with the gaps before them, to the line's end if only a gap is left there.
+#: Together they cover every character, and a line break is only ever the last one.
+STRETCH = r"(?:[^\p{L}\p{N}_\n]*+[\p{L}\p{N}_]++){1,16}+(?:[^\p{L}\p{N}_\n]*+\n)?|[^\p{L}\p{N}_\n]*+\n|[^\p{L}\p{N}_\n]++"
+
+
+def _dealt(sources: DataFrame) -> DataFrame:
+    """Texts dealt by file before they are taken apart, so only they are shuffled, with the number of texts of their file."""
+    own = Window.partitionBy("project", "path")
+    return dealt_by_file(sources.filter("content is not null")).withColumn("texts", F.count(F.lit(1)).over(own))
+
+
+def _words(dealt: DataFrame) -> DataFrame:
+    """Words with their place and the word before, in lower case. Only stretches are sorted; within one, a word's place
+    follows from the few before it."""
+    cut = dealt.select("project", "path", F.posexplode(F.regexp_extract_all("content", F.lit(STRETCH), F.lit(0))).alias("pos", "stretch"))
+    words = F.regexp_extract_all("stretch", F.lit(r"[\p{L}\p{N}_]++"), F.lit(0))
+    order = Window.partitionBy("project", "path").orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    breaks = F.col("stretch").endswith("\n")
+    sized = cut.select("*", F.length("stretch").alias("size"), F.lower(F.get(words, F.size(words) - 1)).alias("tail"))
+    placed = sized.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
+    lined = placed.select(
+        "project",
+        "path",
+        "stretch",
+        "at",
+        "tail",
+        F.last("tail", ignorenulls=True).over(before).alias("led"),
+        (1 + F.coalesce(F.sum(breaks.cast("int")).over(before), F.lit(0))).cast("long").alias("line_no"),
+        F.coalesce(F.max(F.when(breaks, F.col("at") + F.col("size"))).over(before), F.lit(0)).cast("long").alias("line_start"),
+    )
+    upto = F.regexp_extract_all("stretch", F.lit(r"[^\p{L}\p{N}_]*+[\p{L}\p{N}_]++"), F.lit(0))
+    told = lined.filter("tail is not null").select("project", "path", "at", "led", "line_no", "line_start", words.alias("words"), upto.alias("upto"))
+    rows = told.select("*", F.posexplode_outer("words").alias("i", "word"))  # outer: none is empty, and no size is tested
+    shift = F.length(F.array_join(F.slice("upto", F.lit(1), F.col("i") + 1), "")) - F.length("word")
+    previous = F.when(F.col("i") > 0, F.lower(F.get("words", F.col("i") - 1))).otherwise(F.col("led"))
+    return rows.select("project", "path", "word", (F.col("at") + shift).alias("offset"), previous.alias("previous"), "line_no", "line_start")
+
+
+def _mixed_words(dealt: DataFrame) -> DataFrame:
+    """As _words where several texts have one project and path: they are one file, their pieces in the order of their
+    places, text by text. The window over a file is as large as that file."""
     cut = dealt.select("project", "path", F.posexplode(F.regexp_extract_all("content", F.lit(PIECE), F.lit(0))).alias("pos", "piece"))
-    before = Window.partitionBy("project", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return cut.withColumn("offset", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("long"))
+    order = Window.partitionBy("project", "path").orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.withColumn("offset", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("long"))
+    breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
+    opens = F.when(breaks > 0, F.col("offset") + F.length("piece") - F.length(F.substring_index("piece", "\n", -1)))
+    rows = placed.select(
+        "project",
+        "path",
+        F.col("piece").alias("word"),
+        "offset",
+        F.lower(F.lag("piece", 2).over(order)).alias("previous"),
+        (1 + F.coalesce(F.sum(breaks).over(before), F.lit(0))).cast("long").alias("line_no"),
+        F.coalesce(F.max(opens).over(before), F.lit(0)).cast("long").alias("line_start"),
+    )
+    return rows.filter(F.col("word").rlike(WORD))
 
 
 def extract_occurrences(sources: DataFrame, declares: tuple[str, ...] = ("the",), extends: tuple[str, ...] = ("of",), *, profile: str = "prose") -> DataFrame:
@@ -33,22 +84,19 @@ def extract_occurrences(sources: DataFrame, declares: tuple[str, ...] = ("the",)
         return code_occurrences(sources)
     if profile != "prose":
         raise ValueError(f"no such profile: {profile}")
-    order = Window.partitionBy("project", "path").orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
-    opens = F.when(breaks > 0, F.col("offset") + F.length("piece") - F.length(F.substring_index("piece", "\n", -1)))
-    previous = F.lower(F.lag("piece", 2).over(order))
-    rows = _pieces(sources).select(
+    dealt = _dealt(sources)
+    rows = _words(dealt.filter("texts = 1")).unionByName(_mixed_words(dealt.filter("texts > 1")))
+    previous = F.col("previous")
+    return rows.select(
         "project",
         "path",
-        F.col("piece").alias("word"),
+        "word",
         "offset",
         F.when(previous.isin(*declares), "Declaration").otherwise("Reference").alias("kind"),
         F.coalesce(previous.isin(*extends), F.lit(False)).alias("is_super"),
-        (1 + F.coalesce(F.sum(breaks).over(before), F.lit(0))).cast("long").alias("line_no"),
-        F.coalesce(F.max(opens).over(before), F.lit(0)).cast("long").alias("line_start"),
+        "line_no",
+        "line_start",
     )
-    return rows.filter(F.col("word").rlike(WORD))
 
 
 def line_table(sources: DataFrame) -> DataFrame:
