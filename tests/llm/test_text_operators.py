@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -120,6 +121,28 @@ def test_repeats_of_nothing(empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_large_anchors_share_no_shard(spark):
+    large = [(100 + h, bytes([i]), 1, 8, 8 << 10) for h in range(40) for i in range(8)]
+    small = [(900 + h, b"s", 1, 2, 800) for h in range(40)]
+    seen = spark.createDataFrame(large + small, "h long, print binary, n long, m long, room long")
+    shards = collections.defaultdict(set)
+    for r in suffixes._dealt(seen, 4, 64 << 10, 2048).collect():
+        shards[r.shard].add(r.h)
+    assert sorted(h for own in shards.values() for h in own) == sorted({r[0] for r in large + small})
+    assert sum(any(h < 900 for h in own) for own in shards.values()) == 40
+
+
+def test_suffix_array_needs_little_memory():
+    data = np.tile(np.random.default_rng(5).integers(97, 123, 20_000).astype(np.uint8), 10)
+    tracemalloc.start()
+    try:
+        suffixes.suffix_array(data)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 70 * len(data)
+
+
 def test_suffix_array_and_prefixes():
     draw = np.random.default_rng(0)
     for _ in range(60):
