@@ -65,17 +65,28 @@ def export_records(occ: DataFrame) -> DataFrame:
     return occ.select(*(F.col(c).cast("string").alias(c) for c in RECORD))
 
 
-def ingest_records(records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Typed rows, records with a missing or unreadable field, and records whose file is gone.
-
-    A truth value other than true reads as false.
-    """
+def _judged(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Each record with its offset as a number and its outcome. Records are read once; the listed files, one row each, meet
+    them by a hash join, for which records are not sorted."""
     number = F.expr("try_cast(offset as bigint)")
     whole = F.lit(True)
     for c in RECORD:
         whole = whole & F.col(c).isNotNull()
     whole = whole & number.isNotNull() & F.col("kind").isin("Declaration", "Reference")
-    invalid = records.filter(~whole)
-    listed = files.select(*FILE).distinct()
-    good = records.filter(whole).join(listed, FILE, "left_semi").select("project", "path", "word", number.alias("offset"), "kind", (F.col("is_super") == "true").alias("is_super"))
-    return good, invalid, records.filter(whole).join(listed, FILE, "left_anti")
+    listed = files.select(*FILE).distinct().withColumn("listed", F.lit(True))
+    outcome = F.when(~whole, "invalid").when(F.col("listed"), "good").otherwise("missing")
+    return records.join(listed.hint("shuffle_hash"), FILE, "left").withColumn("number", number).withColumn("outcome", outcome).drop("listed")
+
+
+def ingest_records(records: DataFrame, files: DataFrame, *, apart: bool = True) -> tuple[DataFrame, DataFrame, DataFrame] | DataFrame:
+    """Typed rows, records with a missing or unreadable field, and records whose file is gone.
+
+    A truth value other than true reads as false. If not apart, all records in one pass, with `number`, their offset, and
+    `outcome`: good, invalid or missing. Each of the three frames reads the records again.
+    """
+    judged = _judged(records, files)
+    if not apart:
+        return judged
+    rows = lambda outcome: judged.filter(F.col("outcome") == outcome)
+    good = rows("good").select("project", "path", "word", F.col("number").alias("offset"), "kind", (F.col("is_super") == "true").alias("is_super"))
+    return good, rows("invalid").select(*records.columns), rows("missing").select(*records.columns)

@@ -469,10 +469,9 @@ def projects_to_rebuild(spark, d):
 def ingest_records(spark, d):
     records = maintain.export_records(b.occurrences(spark, d))
     bad = b.labelled_files(spark, d, "quality = 0").select("project", "path", F.lit(True).alias("bad"))
-    spoilt = records.join(bad, ["project", "path"], "left").withColumn("offset", F.when(F.col("bad"), F.concat(F.lit("x"), F.col("offset"))).otherwise(F.col("offset"))).drop("bad")
-    good, invalid, missing = maintain.ingest_records(spoilt, b.labelled_files(spark, d))
-    count = lambda rows, what: rows.groupBy("project").agg(F.count(F.lit(1)).cast("long").alias("n_rows")).withColumn("outcome", F.lit(what))
-    return count(good, "good").unionByName(count(invalid, "invalid")).unionByName(count(missing, "missing"))
+    spoilt = records.join(bad.hint("shuffle_hash"), ["project", "path"], "left").withColumn("offset", F.when(F.col("bad"), F.concat(F.lit("x"), F.col("offset"))).otherwise(F.col("offset"))).drop("bad")
+    judged = maintain.ingest_records(spoilt, b.labelled_files(spark, d), apart=False)
+    return judged.groupBy("project", "outcome").agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select("project", "n_rows", "outcome")
 
 
 # streams
