@@ -10,6 +10,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
@@ -351,6 +352,33 @@ def test_leaks_that_end_a_document(spark, frame):
     assert all(got[d, i] > 0.999 for d, i in want if d % 2 == 0)
 
 
+def test_leak_search_needs_little_memory_and_any_run_of_windows(monkeypatch):
+    draw = random.Random(9)
+    some = [f"w{i}" for i in range(400)]
+    items = [" ".join(draw.choices(some, k=40)) for _ in range(20)]
+    block = decontaminate.Block.of(list(enumerate(items)))
+    space = np.linalg.qr(np.random.default_rng(9).normal(size=(len(block.vocabulary), 96)))[0]
+    search = decontaminate._search(block, np.ones(len(block.vocabulary)), space, 0.3)
+    texts = [" ".join([*draw.choices(some, k=2000), items[i % 20], *draw.choices(some, k=2000)]) for i in range(300)]
+
+    def found(n):
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts[:n], pa.string())})
+        return [tuple(r.values()) for x in search(iter([batch])) for r in x.to_pylist()]
+
+    tracemalloc.start()
+    try:
+        rows = found(300)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {(i, i % 20) for i in range(300)} <= {(d, i) for d, i, *_ in rows}
+    assert most < 60e6
+    want = [r for r in rows if r[0] < 20]
+    monkeypatch.setattr(decontaminate, "WINDOWS", 3)
+    near = lambda x: sorted((d, i, *(round(v, 5) for v in more)) for d, i, *more in x)
+    assert near(found(20)) == near(want)
+
+
 def test_weight_of_common_subsequence():
     weight = np.array([1.0, 2, 3, 4])
     assert decontaminate.lcs_weight(np.array([0, 1, 2, 3]), weight, np.array([1, 9, 0, 2, 3])) == 9

@@ -30,6 +30,8 @@ BLOCK_ITEMS = 1024
 BLOCK_WORDS = 200_000
 #: Windows are runs of PARTS parts of STEP words; item passages are as long.
 STEP, PARTS = 12, 4
+#: Bytes of text searched at once, and windows compared with all passages at once; any number gives the same leaks.
+SLICE, WINDOWS = 1 << 20, 1024
 COSINE = 0.3
 #: Least share of an item passage's latent energy that a window must hold to be a candidate, besides the cosine.
 COVERAGE = 0.5
@@ -92,7 +94,7 @@ def _count(vocabulary: dict[bytes, int]):
         seen = np.zeros(len(vocabulary), np.int64)
         terms = vocabulary.keys()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 here = [vocabulary[w] for text in texts(part) for w in set(words_of(text)) & terms]
                 seen += np.bincount(np.array(here, np.int64), minlength=len(seen))
         some = np.flatnonzero(seen)
@@ -111,8 +113,8 @@ def _fold(terms: np.ndarray, bounds: np.ndarray, matrix: np.ndarray) -> np.ndarr
     """Sums of the matrix's rows by term, over runs that begin at bounds."""
     out = np.zeros((len(bounds) - 1, matrix.shape[1]), matrix.dtype)
     full = np.flatnonzero(np.diff(bounds))
-    for a in range(0, len(full), 4096):
-        some = full[a : a + 4096]
+    for a in range(0, len(full), 1024):
+        some = full[a : a + 1024]
         first = bounds[some[0]]
         out[some] = np.add.reduceat(matrix[terms[first : bounds[some[-1] + 1]]], bounds[some] - first, axis=0)
     return out
@@ -243,7 +245,7 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 terms, lengths = _numbers(texts(part), block.vocabulary)
                 doc_ids = part.column("doc_id").to_pylist()
                 firsts = np.concatenate([[0], np.cumsum(lengths)])
@@ -264,12 +266,15 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float):
                 size = np.linalg.norm(windows, axis=1)
                 some = np.flatnonzero(size > 1e-6)
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for a in range(0, len(some), 8192):
-                    w = some[a : a + 8192]
+                for a in range(0, len(some), WINDOWS):
+                    lo = max(a - 1, 0)  # with the windows beside them, so that where a run of windows ends does not matter
+                    w = some[lo : a + WINDOWS + 1]
                     along = windows[w] @ targets.T
                     near = along / size[w][:, None]
                     passing = (near >= cosine) & (along >= COVERAGE * energy)
-                    r, t = np.nonzero(passing)
+                    own = passing[a - lo : a - lo + WINDOWS]
+                    r, t = np.nonzero(own)
+                    r += a - lo
                     # of overlapping windows that hold the same passage, the fullest one is checked
                     before, after = np.maximum(r - 1, 0), np.minimum(r + 1, len(w) - 1)
                     top = ~passing[before, t] | (along[r, t] >= along[before, t]) | (part_doc[w[before]] != part_doc[w[r]])
