@@ -547,3 +547,32 @@ def test_first_fit_decreasing_is_first_fit():
 
 def test_packing_of_nothing(empty):
     assert packing.pack(packing.pieces(empty, path("word_bpe_49k.json"))).count() == 0
+
+
+def test_large_sets_are_told_apart_by_their_wide_maps(spark):
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2**63, 3000).astype(np.uint64)
+    near, half, other = (np.sort(np.concatenate([base[k:], draw.integers(0, 2**63, k + extra).astype(np.uint64)])) for k, extra in ((100, 0), (1500, 0), (3000, 3000)))
+    sets = [np.sort(base), near, half, other, base[:100]]
+    assert shingles.wide_map(sets[-1]) is None
+    for x, y in itertools.combinations(sets[:-1], 2):
+        assert shingles.differences(shingles.wide_map(x), shingles.wide_map(y)) <= len(np.setxor1d(x, y))
+    rows = [(i, len(s), shingles.parity_maps([s])[0].tolist(), shingles.wide_map(s)) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, n_shingles long, parity array<long>, wide binary")
+    pairs = spark.createDataFrame([(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 4, 1), (1, 2, 1)], "a long, b long, c long")
+    # maps of one size let the pairs of half the hashes pass; a pair with a small set is left to the sizes
+    assert sorted((r.a, r.b) for r in shingles._bounded(pairs, nodes, 75).collect()) == [(0, 1), (0, 4)]
+
+
+def test_large_documents_link_by_whole_overlaps(frame):
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(9999)}" for _ in range(1300)]
+    texts = []
+    for edits in (0, 0, 20, 30, 45, 60, 120):  # about three quarters are shared at 45 edits
+        w = list(base)
+        for _ in range(edits):
+            w[draw.randrange(len(w))] = f"e{draw.randrange(9999)}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base + base[::-1]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.link_classes(frame(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes(texts)
