@@ -118,6 +118,31 @@ def test_repeated_rows_and_segments(frame, prose, monkeypatch):
     assert got == collections.Counter((i, *x) for i, x in zip([*range(len(texts)), 0, 1, 2], want, strict=True))
 
 
+def test_windows_of_spread_anchors_meet_packed(frame, monkeypatch):
+    draw = random.Random(8)
+    base = "".join(draw.choice("abcdefgh ") for _ in range(900))
+    texts = []
+    for i in range(40):  # near copies: their windows meet across shards
+        at = draw.randrange(100, 800)
+        texts.append(base[:at] + f"<{i % 30}>" + base[at:])
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 4096)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(frame(texts), spread=2, shard_bytes=4096).collect()}
+    assert [got[i] for i in range(len(texts))] == repeats(texts, 400)
+    windows = np.arange(4 * 500, dtype=np.uint64).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"x" * 16, b"y" * 16]), pa.array([windows, windows])], ["h", "print", "digests"])
+    (out,) = suffixes._windows(4)(iter([batch]))
+    assert out.num_rows <= 4 and sum(len(x) for x in out.column("windows").to_pylist()) == 1000 * suffixes._WINDOW.itemsize
+
+
+def test_only_texts_that_are_asked_for_are_marked(spark):
+    rows = spark.range(3000).selectExpr("if(id = 7, null, id) doc_id", "id * 31 dh")
+    wanted = rows.filter("dh % 3 = 0").selectExpr("doc_id w_id", "dh w_dh")
+    seen = suffixes._asked(rows, wanted).collect()
+    assert len(seen) == 3000 and all(r.asked for r in seen if r.dh % 3 == 0)
+    assert sum(r.asked for r in seen) < 1100
+    assert not any(r.asked for r in suffixes._asked(rows, wanted.limit(0)).collect())
+
+
 def test_repeats_of_nothing(empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
