@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trawl.llm import infill, merkle, registry, tokenfiles, tokens
+from trawl.llm import infill, merkle, packing, registry, tokenfiles, tokens
 from trawl.llm.huffman import STEP, Code, code_lengths
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,23 @@ def test_other_vocabularies_take_the_whole_way(prose):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in prose[:20]]
 
 
+def test_a_worker_keeps_no_words_after_its_task(frame):
+    def kept(batches):
+        for _ in batches:
+            encoder = tokens.Encoder._kept.get(VOCABULARY)
+            yield pa.RecordBatch.from_arrays([pa.array([len(encoder.words.rows) if encoder else 0], pa.int64())], ["n"])
+
+    docs = frame(["some words that are kept for a while"]).coalesce(1)
+    assert packing.pieces(docs, VOCABULARY).count() == 1
+    assert [r.n for r in docs.mapInArrow(kept, "n long").collect()] == [0]
+    assert tokenfiles.token_table(docs, VOCABULARY).count() == 1
+    assert [r.n for r in docs.mapInArrow(kept, "n long").collect()] == [0]
+    with tokens.encoding(VOCABULARY) as encoder:
+        encoder.encode(pa.array(["a word", None]))
+        assert encoder.words.rows
+    assert not encoder.words.rows
+
+
 def test_a_full_memory_starts_anew(prose, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
     encoder = tokens.Encoder(VOCABULARY)

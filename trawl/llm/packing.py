@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.common import slices
-from trawl.llm.tokens import Encoder, with_end
+from trawl.llm.tokens import SLICE, encoding, with_end
 
 SEQUENCE = 4096
 END_ID = 2
@@ -37,24 +37,24 @@ def pieces(docs: DataFrame, vocabulary: str, *, end_id: int = END_ID, sequence:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(vocabulary)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                flat, bounds = with_end(*encoder.encode(part.column("text")), end_id)
-                flat = flat.astype("<u4")
-                sizes = np.diff(bounds)
-                counts = -(-sizes // sequence)
-                row = np.repeat(np.arange(len(sizes)), counts)
-                starts = sequence * (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))
-                lengths = np.minimum(sequence, sizes[row] - starts)
-                begins = bounds[row] + starts
-                marks = [zlib.crc32(flat[a : a + n].data) for a, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
-                columns = [part.column("doc_id").take(pa.array(row)), pa.array(starts), pa.array(lengths), pa.array(marks, pa.int64()), pa.array(sizes[row])]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(begins, len(flat)), pa.int32()), pa.array(flat.astype(np.int32))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        with encoding(vocabulary) as encoder:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE):
+                    flat, bounds = with_end(*encoder.encode(part.column("text")), end_id)
+                    flat = flat.astype("<u4")
+                    sizes = np.diff(bounds)
+                    counts = -(-sizes // sequence)
+                    row = np.repeat(np.arange(len(sizes)), counts)
+                    starts = sequence * (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))
+                    lengths = np.minimum(sequence, sizes[row] - starts)
+                    begins = bounds[row] + starts
+                    marks = [zlib.crc32(flat[a : a + n].data) for a, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
+                    columns = [part.column("doc_id").take(pa.array(row)), pa.array(starts), pa.array(lengths), pa.array(marks, pa.int64()), pa.array(sizes[row])]
+                    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.append(begins, len(flat)), pa.int32()), pa.array(flat.astype(np.int32))))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))

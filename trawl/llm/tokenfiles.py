@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from trawl.llm.common import ragged, shared_checkpoints, slices
 from trawl.llm.huffman import STEP, Code, code_lengths
 from trawl.llm.packing import END_ID
-from trawl.llm.tokens import Encoder, with_end
+from trawl.llm.tokens import Encoder, encoding, with_end
 
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 18
@@ -52,12 +52,12 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataF
     kind = id_type(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(vocabulary)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                ids, bounds = with_end(*encoder.encode(part.column("text")), end_id)
-                raw = _binary(ids.astype(kind).view(np.uint8), np.dtype(kind).itemsize * bounds)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), raw], ["doc_id", "n_tokens", "ids"])
+        with encoding(vocabulary) as encoder:
+            for batch in batches:
+                for part in slices(batch, "text", SLICE):
+                    ids, bounds = with_end(*encoder.encode(part.column("text")), end_id)
+                    raw = _binary(ids.astype(kind).view(np.uint8), np.dtype(kind).itemsize * bounds)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), raw], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -18,6 +20,9 @@ import pyarrow.compute as pc
 
 from trawl.llm.common import ragged
 
+#: Bytes of text encoded at once.
+SLICE = 2 << 20
+
 #: Words, and parts of words, whose ids a worker keeps at most; beyond that it starts anew.
 CACHE_WORDS = 1 << 19
 
@@ -164,6 +169,17 @@ class Encoder:
         return ids, per_word[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts, dtype=np.int64)])]
 
 
+@contextmanager
+def encoding(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for a task. The words it kept go with the task: a worker lives on, and later stages need the room."""
+    encoder = Encoder.of(path)
+    try:
+        yield encoder
+    finally:
+        encoder._reset()
+        pa.default_memory_pool().release_unused()
+
+
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with end_id after each text."""
     n = len(bounds) - 1
