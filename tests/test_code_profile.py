@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from trawl.operators import extract, resolve
+from trawl.operators import code, extract, resolve
 
 CASES = {
     "x-methods": ("""
@@ -145,6 +145,16 @@ def test_null_contents_and_long_files(rows_of):
     assert [r.word for r in got["string"]] == ["x"] and [r.word for r in got["comment"]] == ["w"]
 
 
+def test_what_follows_needs_no_sort_of_its_own(spark):
+    src = spark.createDataFrame([("p", "f", "@a(b) @c def x = new A.B { new C }\n@d class Y extends Z")], "project string, path string, content string")
+    seen = code._with_context(code.tokens(src))
+    assert "DESC" not in seen._jdf.queryExecution().executedPlan().toString()
+    told = {(r.token, r.pos): (r.declares, r.follows) for r in seen.collect()}
+    by_token = {t: v for (t, _), v in sorted(told.items(), key=lambda x: -x[0][1])}
+    assert by_token["@"] == ("def", "@") and by_token["A"] == ("class", "{") and by_token["C"] == (None, None)
+    assert by_token["class"] == (None, "extends") and by_token["extends"] == (None, None)
+
+
 def test_a_file_is_dealt_once(spark):
     src = spark.createDataFrame([("p", "a", "class A")], "project string, path string, content string")
     plan = extract.extract_occurrences(src, profile="scala")._jdf.queryExecution().executedPlan().toString()

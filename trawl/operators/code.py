@@ -96,11 +96,13 @@ def _with_context(found: DataFrame) -> DataFrame:
         F.lead("token", 1, "").over(order).alias("after"),
         F.coalesce(F.col("line_no") > F.lag("line_no").over(order), F.lit(True)).alias("fresh"),
         (F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.when(opens, 1).otherwise(0)).alias("depth"),
+        F.when(t.isin(*DECLARES), t).alias("declaring"),
+        F.when(~_named() & ~t.isin("[", "]", "(", ")", "."), t).alias("other"),
     )
     level = Window.partitionBy(*FILE, "depth").orderBy("pos")
     prior = level.rowsBetween(Window.unboundedPreceding, -1)
-    # what follows is what came last from the other end: a frame up to the end would be summed anew for every row
-    later = Window.partitionBy(*FILE, "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    # what comes next is looked up in the same order: no sort from the other end, and no frame summed anew for every row
+    upcoming = lambda name: F.expr(f"lead({name}, 1) ignore nulls").over(level)
     header = F.element_at(F.create_map(*[F.lit(x) for pair in HEADERS.items() for x in pair]), t)
     begins = F.col("before").isin("(", "[", "{") | (F.col("fresh") & ~t.isin(*GOES_ON) & ~F.col("before").isin(*OPEN_AFTER))
     selectors = (t == "{") & (F.col("before") == ".")  # of an import
@@ -111,12 +113,12 @@ def _with_context(found: DataFrame) -> DataFrame:
     since = F.last(F.when(event.isNotNull(), F.col("pos")), ignorenulls=True).over(prior)
     colon = F.last(F.when(t == ":", F.col("pos")), ignorenulls=True).over(prior)
     ahead = near.select(
-        "*",
+        *(c for c in near.columns if c not in ("declaring", "other")),
         F.coalesce(kind, F.lit("none")).alias("header"),
         F.coalesce(F.last(F.when(event.isNotNull(), event), ignorenulls=True).over(prior), F.lit("none")).alias("was"),
         F.coalesce(colon > since, F.lit(False)).alias("typed"),
-        F.last(F.when(t.isin(*DECLARES), t), ignorenulls=True).over(later).alias("declares"),
-        F.last(F.when(~_named() & ~t.isin("[", "]", "(", ")", "."), t), ignorenulls=True).over(later).alias("follows"),
+        upcoming("declaring").alias("declares"),
+        upcoming("other").alias("follows"),
     )
     own = F.col("was").isin("def", "class")
     type_ends = (F.col("was") == "def") & F.col("typed") & (t.isin("=", "{", "}", ";") | t.isin(*DECLARES) | (F.col("header") == "none"))
