@@ -66,3 +66,39 @@ def test_files_that_are_not_text(spark, tmp_path):
     read = tables.scan_sources(spark, str(tmp_path), "p")
     assert read.count() == 3  # Spark skips the empty file
     assert read.filter("path like '%good.scala'").first().content == "Übergröße"
+
+
+def shuffled(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and "word#" in line]
+
+
+def test_words_are_not_shuffled_to_be_written(spark, tmp_path, monkeypatch):
+    written = []
+    write = store._write
+    monkeypatch.setattr(store, "_write", lambda rows, *a, **k: (written.append((rows, k.get("by_project"))), write(rows, *a, **k)))
+    path = str(tmp_path / "occ")
+    texts = sources(spark, *((f"p{i % 5}", f"f{i}", f"the word of {i}\nx y") for i in range(60)), (None, "n", "a"), ("", "e", "b"), ("p1", "f1", "twice"))
+    store.append_occurrences(extract_occurrences(texts, by_project=True), path, by_project=True)
+    assert sorted(map(str, store.read_occurrences(spark, path).drop("project").collect())) == sorted(map(str, extract_occurrences(texts).select(*store.COLUMNS).collect()))
+    store.upsert_stored(spark, sources(spark, ("p2", "f2", "now"), ("p3", "f3", None)), path)
+    assert len(written) == 3 and written[0][1] and written[2][1]
+    for rows, by_project in written:
+        if by_project:
+            assert not shuffled(rows.select("project", *store.COLUMNS))
+    got = [(r.project, r.path, r.word) for r in store.read_occurrences(spark, path).collect()]
+    assert ("p2", "f2", "now") in got and (None, "n", "a") in got and not [w for w in got if w[1] == "f3"] and len([w for w in got if w[1] == "f1"]) == 7
+
+
+def test_many_projects_and_long_lists(spark, tmp_path, monkeypatch):
+    """More projects in a task than it writes at once; more changed files than are sent as a list."""
+    path = str(tmp_path / "occ")
+    before = [spark.conf.get(k, None) for k in ("spark.sql.maxConcurrentOutputFileWriters", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")]
+    monkeypatch.setattr(store, "WRITERS", 2)
+    monkeypatch.setattr(store, "LISTED", 0)
+    texts = sources(spark, *((f"p{i % 30}", f"f{i}", f"a{i} b") for i in range(90)))
+    store.append_occurrences(extract_occurrences(texts, by_project=True), path, by_project=True)
+    store.upsert_stored(spark, sources(spark, *((f"p{i % 30}", f"f{i}", f"c{i}") for i in range(30))), path)
+    want = [(f"p{i % 30}", f"f{i}", w) for i in range(90) for w in ([f"c{i}"] if i < 30 else [f"a{i}", "b"])]
+    assert words(spark, path) == sorted(want)
+    assert {r.project for r in store.indexed_projects(spark, path).collect()} == {f"p{i}" for i in range(30)}
+    assert before == [spark.conf.get(k, None) for k in ("spark.sql.maxConcurrentOutputFileWriters", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")]

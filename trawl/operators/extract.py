@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.operators.code import code_occurrences
-from trawl.sources.tables import dealt_by_file
+from trawl.sources.tables import dealt_by_file, dealt_by_project
 
 #: Words and gaps alternate and together cover every character.
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
@@ -19,10 +19,11 @@ KEY = ("project", "path", "word", "offset", "kind", "is_super")
 STRETCH = r"(?:[^\p{L}\p{N}_\n]*+[\p{L}\p{N}_]++){1,16}+(?:[^\p{L}\p{N}_\n]*+\n)?|[^\p{L}\p{N}_\n]*+\n|[^\p{L}\p{N}_\n]++"
 
 
-def _dealt(sources: DataFrame) -> DataFrame:
+def _dealt(sources: DataFrame, by_project: bool) -> DataFrame:
     """Texts dealt by file before they are taken apart, so only they are shuffled, with the number of texts of their file."""
     own = Window.partitionBy("project", "path")
-    return dealt_by_file(sources.filter("content is not null")).withColumn("texts", F.count(F.lit(1)).over(own))
+    deal = dealt_by_project if by_project else dealt_by_file
+    return deal(sources.filter("content is not null")).withColumn("texts", F.count(F.lit(1)).over(own))
 
 
 def _words(dealt: DataFrame) -> DataFrame:
@@ -74,17 +75,18 @@ def _mixed_words(dealt: DataFrame) -> DataFrame:
     return rows.filter(F.col("word").rlike(WORD))
 
 
-def extract_occurrences(sources: DataFrame, declares: tuple[str, ...] = ("the",), extends: tuple[str, ...] = ("of",), *, profile: str = "prose") -> DataFrame:
+def extract_occurrences(sources: DataFrame, declares: tuple[str, ...] = ("the",), extends: tuple[str, ...] = ("of",), *, profile: str = "prose", by_project: bool = False) -> DataFrame:
     """project, path, word, offset (code points, from 0), kind, is_super, line_no (from 1), line_start.
 
     The profile `scala` reads source code (see code.code_occurrences). In prose a word declares if the word before it is one of `declares`, and stands in a super position if that is one of
-    `extends`, in lower case. Null contents give no rows (see quarantine_failures).
+    `extends`, in lower case. Null contents give no rows (see quarantine_failures). With by_project (prose only) a task's
+    rows are of few projects, as store.append_occurrences asks for; the rows are the same.
     """
     if profile == "scala":
         return code_occurrences(sources)
     if profile != "prose":
         raise ValueError(f"no such profile: {profile}")
-    dealt = _dealt(sources)
+    dealt = _dealt(sources, by_project)
     rows = _words(dealt.filter("texts = 1")).unionByName(_mixed_words(dealt.filter("texts > 1")))
     previous = F.col("previous")
     return rows.select(

@@ -15,9 +15,10 @@ def delete_file_occurrences(occ: DataFrame, files: DataFrame) -> DataFrame:
     return occ.join(files.select(*FILE).distinct(), FILE, "left_anti")
 
 
-def upsert_files(occ: DataFrame, changed: DataFrame) -> DataFrame:
-    """Replaces the rows of the changed files; applied twice it is as if applied once."""
-    return delete_file_occurrences(occ, changed).unionByName(extract_occurrences(changed))
+def upsert_files(occ: DataFrame, changed: DataFrame, *, gone: DataFrame | None = None, by_project: bool = False) -> DataFrame:
+    """Replaces the rows of the changed files; applied twice it is as if applied once. gone: the names of the changed files,
+    where they are at hand."""
+    return delete_file_occurrences(occ, changed if gone is None else gone).unionByName(extract_occurrences(changed, by_project=by_project))
 
 
 def rebuild_projects(occ: DataFrame, sources: DataFrame, projects: DataFrame) -> DataFrame:

@@ -66,8 +66,8 @@ def code_spans(lines: DataFrame) -> DataFrame:
     )
 
 
-def occurrences(spark: SparkSession, d: str) -> DataFrame:
-    return extract_occurrences(sources(spark, d))
+def occurrences(spark: SparkSession, d: str, *, by_project: bool = False) -> DataFrame:
+    return extract_occurrences(sources(spark, d), by_project=by_project)
 
 
 def labelled_files(spark: SparkSession, d: str, condition: str = "true") -> DataFrame:

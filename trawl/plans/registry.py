@@ -422,29 +422,34 @@ def drop_projects(spark, d):
     return _per_file(maintain.drop_projects(b.occurrences(spark, d), _scope(spark, d)))
 
 
-def _stored(spark, occ):
+def _stored(spark, occ, by_project=True):
     path = shared_folder(spark, "occurrences")
-    store.append_occurrences(occ, path)
+    store.append_occurrences(occ, path, by_project=by_project)
     return path
 
 
+def _stored_without_good(spark, d):
+    good, few = store.listed(b.labelled_files(spark, d, "quality = 1").select("project", "path"))
+    return _stored(spark, maintain.delete_file_occurrences(b.occurrences(spark, d, by_project=True), good), few)
+
+
 @query
 def stored_rebuild(spark, d):
-    path = _stored(spark, maintain.delete_file_occurrences(b.occurrences(spark, d), b.labelled_files(spark, d, "quality = 1")))
+    path = _stored_without_good(spark, d)
     store.rebuild_stored(b.sources(spark, d), _scope(spark, d), path)
     return _per_file(store.read_occurrences(spark, path))
 
 
 @query
 def stored_upsert(spark, d):
-    path = _stored(spark, maintain.delete_file_occurrences(b.occurrences(spark, d), b.labelled_files(spark, d, "quality = 1")))
+    path = _stored_without_good(spark, d)
     store.upsert_stored(spark, b.labelled_files(spark, d, "toxic = 1"), path)
     return _per_file(store.read_occurrences(spark, path))
 
 
 @query
 def stored_drop(spark, d):
-    path = _stored(spark, b.occurrences(spark, d))
+    path = _stored(spark, b.occurrences(spark, d, by_project=True))
     store.drop_stored(spark, _scope(spark, d), path)
     return _per_file(store.read_occurrences(spark, path))
 
