@@ -80,13 +80,14 @@ def test_words_are_not_shuffled_to_be_written(spark, tmp_path, monkeypatch):
     texts = sources(spark, *((f"p{i % 5}", f"f{i}", f"the word of {i}\nx y") for i in range(60)), (None, "n", "a"), ("", "e", "b"), ("p1", "f1", "twice"))
     store.append_occurrences(extract_occurrences(texts, by_project=True), path, by_project=True)
     assert sorted(map(str, store.read_occurrences(spark, path).drop("project").collect())) == sorted(map(str, extract_occurrences(texts).select(*store.COLUMNS).collect()))
+    store.rebuild_stored(texts.filter("path <> 'f5'"), projects(spark, "p0", "p1"), path)
     store.upsert_stored(spark, sources(spark, ("p2", "f2", "now"), ("p3", "f3", None)), path)
-    assert len(written) == 3 and written[0][1] and written[2][1]
+    assert len(written) == 4 and written[0][1] and written[2][1] and written[3][1]
     for rows, by_project in written:
         if by_project:
             assert not shuffled(rows.select("project", *store.COLUMNS))
     got = [(r.project, r.path, r.word) for r in store.read_occurrences(spark, path).collect()]
-    assert ("p2", "f2", "now") in got and (None, "n", "a") in got and not [w for w in got if w[1] == "f3"] and len([w for w in got if w[1] == "f1"]) == 7
+    assert ("p2", "f2", "now") in got and (None, "n", "a") in got and not [w for w in got if w[1] in ("f3", "f5")] and len([w for w in got if w[1] == "f1"]) == 7
 
 
 def test_many_projects_and_long_lists(spark, tmp_path, monkeypatch):

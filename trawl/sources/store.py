@@ -95,9 +95,9 @@ def append_occurrences(occ: DataFrame, path: str, *, by_project: bool = False) -
 
 def rebuild_stored(sources: DataFrame, projects: DataFrame, path: str) -> None:
     """All files of the projects extracted anew in place of what was stored for them; other projects are not read."""
-    own = projects.select("project").distinct()
-    fresh = extract_occurrences(sources.join(own, "project", "left_semi"))
-    _write(fresh.unionByName(_marks(own, "built")), path, "overwrite")
+    own, _ = listed(projects.select("project"))
+    fresh = extract_occurrences(sources.join(own, "project", "left_semi"), by_project=True)
+    _write(fresh.unionByName(_marks(own, "built")), path, "overwrite", by_project=True)
 
 
 def upsert_stored(spark: SparkSession, changed: DataFrame, path: str) -> None:
