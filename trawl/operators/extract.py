@@ -19,7 +19,7 @@ KEY = ("project", "path", "word", "offset", "kind", "is_super")
 STRETCH = r"(?:[^\p{L}\p{N}_\n]*+[\p{L}\p{N}_]++){1,16}+(?:[^\p{L}\p{N}_\n]*+\n)?|[^\p{L}\p{N}_\n]*+\n|[^\p{L}\p{N}_\n]++"
 
 
-def _dealt(sources: DataFrame, by_project: bool) -> DataFrame:
+def _dealt(sources: DataFrame, by_project: bool = False) -> DataFrame:
     """Texts dealt by file before they are taken apart, so only they are shuffled, with the number of texts of their file."""
     own = Window.partitionBy("project", "path")
     deal = dealt_by_project if by_project else dealt_by_file
